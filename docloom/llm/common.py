@@ -86,3 +86,36 @@ def texts_in(batch, column: str) -> Iterable[str]:
     for x in batch.column(column):
         v = x.as_py()
         yield "" if v is None else v
+
+
+def runs(batches, keys: int):
+    """(key values, rows) for each run of equal values in the first ``keys`` integer columns; a run may come in parts."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(n - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            yield tuple(int(c[s]) for c in cols), batch.slice(s, e - s)
+
+
+def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors: DataFrame | None = None) -> DataFrame:
+    """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
+
+    Each member is at home (``role`` 0) in one of ``ceil(members / size)`` tiles of its group, dealt by its hash, and
+    each visitor (``role`` 1; by default every member) comes to all of them. The result is spread by group and tile
+    and sorted so that a tile's homes come first: a task holds about ``size`` homes and streams the visitors.
+    """
+    tiles = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_tiles"))
+    home = members.join(tiles, group).withColumn("tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
+    home = home.withColumn("role", F.lit(0)).drop("_tiles")
+    guests = (members if visitors is None else visitors).join(tiles, group)
+    guests = guests.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("role", F.lit(1))
+    both = home.unionByName(guests.drop("_tiles"))
+    first = [*group, "tile", "role"]
+    both = both.select(*first, *[c for c in both.columns if c not in first])
+    return both.repartition(*group, "tile").sortWithinPartitions(*first)
