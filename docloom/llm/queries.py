@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, minhash
+from docloom.llm import bpe, chat, fingerprint, linededup, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the multi-line chunks that an earlier document has."""
+    return linededup.without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document's whole text."""
     import public_tokenizers
@@ -49,6 +59,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_fingerprint": op8_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
