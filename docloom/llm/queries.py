@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, fingerprint, linededup, minhash
+from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all vectors."""
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_line_dedup": op7_line_dedup,
     "op8_fingerprint": op8_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
