@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash
+from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page and reads the archives back."""
+    return warc.archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -62,6 +67,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op5_minhash": op5_minhash,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_line_dedup": op7_line_dedup,
@@ -70,4 +76,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS digest FROM pages
+        ), f AS (
+            SELECT page_id, octet_length(b) AS n, digest,
+                   CASE WHEN octet_length(b) >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first
+            FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f
+    """,
+}
