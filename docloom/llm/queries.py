@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash, warc
+from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash, mixing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,25 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Target shares of the languages that op1_mixing mixes to.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that mix their languages, as a classifier sees them, to TARGETS."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS).drop("h")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    ranker = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, ranker)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives every page and reads the archives back."""
     return warc.archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -67,7 +86,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op5_minhash": op5_minhash,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_line_dedup": op7_line_dedup,
