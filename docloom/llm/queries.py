@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, minhash, mixing, quality, warc
+from docloom.llm import bpe, chat, embeddings, fingerprint, linededup, lm, minhash, mixing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    scored = lm.score_texts(docs, ~held_out)
+    return scored.select("doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash": op5_minhash,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_line_dedup": op7_line_dedup,
