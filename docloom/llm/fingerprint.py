@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import SLOTS, materialize, repeated_slots, runs, set_bits, text_of
@@ -62,28 +62,27 @@ def digest_slots(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text_of(text).alias("text")).mapInArrow(run, "slot long")
 
 
-def resolved(rows: DataFrame, digest_column: str, canon_column: str) -> DataFrame:
-    """(digest, canon, nth) of canonical texts that share a digest with a different one; nth from 0. Empty in practice.
+def named(rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with final fingerprints in the digest columns; columns: (digest, canonical bytes) names.
 
-    ``canon_column`` is null where the slot map rules an equal digest out.
+    The bytes are null where the slot map rules an equal digest out. Digests whose bytes differ are found by comparing
+    the least and the greatest bytes of each bucket, combined before the shuffle; in practice there are none, and the
+    rows are returned as they are.
     """
-    d, c = F.col(digest_column), F.col(canon_column)
-    texts = rows.filter(c.isNotNull()).select(d.alias("digest"), c.alias("canon")).groupBy("digest")
-    unequal = texts.agg(F.min("canon").alias("x"), F.max("canon").alias("y")).filter("x != y").select("digest")
-    few = rows.select(d.alias("digest"), c.alias("canon")).join(unequal, "digest").distinct()
-    from pyspark.sql import Window
-
-    return few.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1)
-
-
-def _named(rows: DataFrame, digest_column: str, canon_column: str) -> DataFrame:
-    """``digest_column`` as the final fingerprint."""
-    extra = resolved(rows, digest_column, canon_column)
-    j = rows.join(
-        extra, (rows[digest_column] == extra.digest) & (rows[canon_column] == extra.canon), "left"
-    )
-    name = F.when(F.col("nth") > 0, F.concat(rows[digest_column], F.lit("-"), F.col("nth").cast("string"))).otherwise(rows[digest_column])
-    return j.select(*[name.alias(c) if c == digest_column else rows[c] for c in rows.columns])
+    texts = None
+    for d, c in columns:
+        part = rows.filter(F.col(c).isNotNull()).select(F.col(d).alias("_d"), F.col(c).alias("_c"))
+        texts = part if texts is None else texts.unionAll(part)
+    unequal = texts.groupBy("_d").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).filter("x != y").select("_d")
+    unequal = materialize(unequal, "unequal")
+    if unequal.isEmpty():
+        return rows
+    few = texts.join(unequal, "_d").distinct()
+    few = materialize(few.withColumn("_n", F.row_number().over(Window.partitionBy("_d").orderBy("_c")) - 1), "numbered")
+    for d, c in columns:
+        rows = rows.join(few, (F.col(d) == F.col("_d")) & (F.col(c) == F.col("_c")), "left")
+        rows = rows.withColumn(d, F.when(F.col("_n") > 0, F.concat(d, F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(d))).drop("_d", "_c", "_n")
+    return rows
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +104,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     rows = materialize(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string, canon binary"), "canon")
-    return _named(rows, "fingerprint", "canon").select(F.col("key").alias(key), "fingerprint")
+    return named(rows, [("fingerprint", "canon")]).select(F.col("key").alias(key), "fingerprint")
 
 
 def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -203,11 +202,6 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "near_edited double, near_next double, canon binary, edited_canon binary",
     )
     rows = materialize(rows, "fingerprints")
-    # One naming for both columns: an edited text equal to a document's canonical text shares its bucket.
-    texts = rows.select("fingerprint", "canon").unionAll(rows.select("edited_fingerprint", "edited_canon"))
-    extra = materialize(resolved(texts, "fingerprint", "canon"), "unequal")
-    for d, c in (("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")):
-        x = extra.select(F.col("digest").alias("_d"), F.col("canon").alias("_c"), F.col("nth").alias("_n"))
-        rows = rows.join(x, (F.col(d) == F.col("_d")) & (F.col(c) == F.col("_c")), "left")
-        rows = rows.withColumn(d, F.when(F.col("_n") > 0, F.concat(d, F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(d))).drop("_d", "_c", "_n")
+    # Both columns together: an edited text equal to a document's canonical text shares its bucket.
+    rows = named(rows, [("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")])
     return rows.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
