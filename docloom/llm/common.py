@@ -107,15 +107,35 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
     Each member is at home (``role`` 0) in one of ``ceil(members / size)`` tiles of its group, dealt by its hash, and
-    each visitor (``role`` 1; by default every member) comes to all of them. The result is spread by group and tile
-    and sorted so that a tile's homes come first: a task holds about ``size`` homes and streams the visitors.
+    each visitor (``role`` 1) comes to all of them. Without ``visitors`` the members visit each other; then a group of
+    one tile has no visitors, as its homes are compared among themselves. The result is spread by group and tile and
+    sorted so that a tile's homes come first: a task holds about ``size`` homes and streams the visitors.
     """
     tiles = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_tiles"))
     home = members.join(tiles, group).withColumn("tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
     home = home.withColumn("role", F.lit(0)).drop("_tiles")
-    guests = (members if visitors is None else visitors).join(tiles, group)
+    guests = members.join(tiles.filter("_tiles > 1"), group) if visitors is None else visitors.join(tiles, group)
     guests = guests.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("role", F.lit(1))
     both = home.unionByName(guests.drop("_tiles"))
     first = [*group, "tile", "role"]
     both = both.select(*first, *[c for c in both.columns if c not in first])
     return both.repartition(*group, "tile").sortWithinPartitions(*first)
+
+
+def tile_visits(batches, keys: int):
+    """(homes, visitors) of ``tiled`` rows: record batches of a tile's homes, and a batch of its visitors or, if there
+    are none, the homes themselves. ``keys``: columns of group and tile; ``role`` follows them."""
+    group, homes, visited = None, [], False
+    for (*key, role), part in runs(batches, keys + 1):
+        if key != group:
+            if homes and not visited:
+                yield from ((homes, h) for h in homes)
+            group, homes, visited = key, [], False
+        if role:
+            visited = True
+            if homes:
+                yield homes, part
+        else:
+            homes.append(part)
+    if homes and not visited:
+        yield from ((homes, h) for h in homes)

@@ -3,10 +3,12 @@
 1. Each text becomes its set of distinct five-word shingles (64-bit hashes) and 192 minima. 32 bands of six minima
    give candidate keys; of each minimum only BITS low bits (after a bijective mix) are kept, packed into a signature.
 2. Equal sets are one class, represented by its smallest id, so copies never meet in pairs.
-3. Members of a band key are paired with the key's smallest id. Pairs whose collision-corrected estimate lies over six
-   standard errors below the threshold are dropped; the others are confirmed on the full sets. Links make components.
-4. In keys whose members are still in several components, members of different components are compared by signature in
-   tiles and the pairs left are confirmed too. So each candidate pair is either confirmed, refuted or already connected.
+3. The members of a band key are compared by signature: pairs whose collision-corrected estimate lies within six
+   standard errors of the threshold or above are candidates, and a spanning forest of them joins sets to clusters.
+   Clusters hold every candidate pair, and little else, as sets that aren't similar aren't joined.
+4. Each cluster's sets are sent once to its tiles, where every pair of a tile's homes and visitors that isn't already
+   connected there is confirmed on the full sets: a visitor's shingles are looked up among those of all homes, which
+   gives the intersections with all of them at once. Tasks return spanning forests of the links; no pairs are emitted.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**32 = 3e-7; nothing else is probabilistic
 but 64-bit hashing. There is no cap on a key's members or on partners.
@@ -24,17 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import id_slot, materialize, runs, set_bits, slot_map, text_of, tiled
+from docloom.llm.common import id_slot, materialize, set_bits, slot_map, text_of, tile_visits, tiled
 from docloom.llm.components import components
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
 PERMS = BANDS * ROWS
 LONGS = PERMS * BITS // 64
-#: Rows of texts that are hashed together, and members of a tile.
-SLICE, TILE = 256, 2048
+#: Rows of texts that are hashed together, signatures and full sets of a tile.
+SLICE, TILE, SETS = 256, 2048, 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(0x5EED)
@@ -167,7 +169,7 @@ def least_agreement(percent: int) -> int:
     return math.floor(PERMS * p - 6 * math.sqrt(PERMS * p * (1 - p)))
 
 
-def estimated_similarity(fields: Column | np.ndarray):
+def estimated_similarity(fields: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity from the number of agreeing fields."""
     chance = 1 / 2**BITS
     return (fields / PERMS - chance) / (1 - chance)
@@ -203,26 +205,60 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>")
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """Agreeing fields of two signature columns, as an expression."""
+def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after linking i to j (positions): each takes the least label that is linked to it, until nothing changes."""
+    labels = labels.copy()
+    while True:
+        low = np.minimum(labels[i], labels[j])
+        before = labels.copy()
+        np.minimum.at(labels, i, low)
+        np.minimum.at(labels, j, low)
+        labels = labels[labels]
+        if (labels == before).all():
+            return labels
 
-    def differing(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
 
-    total = F.lit(0)
-    for k in range(LONGS):
-        total = total + differing(F.col(a)[k], F.col(b)[k])
-    return F.lit(PERMS) - total
+def _clusters(members: DataFrame, least: int) -> DataFrame:
+    """(id, component): candidates of band keys, ``members`` (band, id, sig), joined."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, made = None, None
+        for homes, part in tile_visits(batches, 2):
+            if kept is not homes:
+                kept = homes
+                hid = np.concatenate([h.column(3).to_numpy() for h in homes])
+                hsig = np.concatenate([h.column(4).flatten().to_numpy() for h in homes]).reshape(-1, LONGS)
+            ids, sig = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(-1, LONGS)
+            n = len(hid)
+            for at in range(0, len(ids), 256):
+                v, vsig = ids[at : at + 256], sig[at : at + 256]
+                i, j = [], []
+                for k in range(0, n, 256):  # bounded blocks of signatures
+                    near = agreement(hsig[k : k + 256, None, :] ^ vsig[None, :, :]) >= least
+                    near &= hid[k : k + 256, None] != v[None, :]
+                    x, y = np.nonzero(near)
+                    i.append(x + k)
+                    j.append(y + n)
+                i, j = np.concatenate(i), np.concatenate(j)
+                if not len(i):
+                    continue
+                both = np.concatenate([hid, v])
+                labels = forest(np.arange(len(both)), i, j)
+                made = np.flatnonzero((labels != np.arange(len(both))) & (both[labels] != both))
+                if len(made):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[made]), pa.array(both[labels[made]])], names=["a", "b"])
+
+    rows = tiled(members, ["band"], "id", TILE)
+    return components(materialize(rows.mapInArrow(compare, "a long, b long"), "candidates"))
 
-def _confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on full sets recomputed from the texts."""
+
+def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs within clusters with 100 * intersection >= percent * union.
+
+    Full sets are recomputed from the texts of the rows whose ids may be in a cluster, told by a slot map of 8 MiB.
+    """
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = spark.sparkContext.broadcast(slot_map(ids.select((id_slot("id") + 1).alias("s")), "s"))  # 8 MiB
+    wanted = spark.sparkContext.broadcast(slot_map(clusters.select((id_slot("id") + 1).alias("s")).distinct(), "s"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,42 +270,39 @@ def _confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
-    rows = rows.select("id", id_slot("id").alias("slot"), "text")
-    sets = rows.mapInArrow(full, "id long, shingles binary").join(ids, "id", "left_semi")
-    sets = materialize(sets.groupBy("id", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")), "sets")
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("n"))
-    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("tile"), "b")
-    centre = dealt.select("a", "tile").distinct().join(sets, F.col("a") == F.col("id"))
-    others = dealt.join(sets, F.col("b") == F.col("id"))
-    both = centre.select("a", "tile", F.lit(0).alias("role"), F.col("a").alias("b"), "shingles").unionAll(
-        others.select("a", "tile", F.lit(1).alias("role"), "b", "shingles")
-    )
+    sets = rows.select("id", id_slot("id").alias("slot"), "text").mapInArrow(full, "id long, shingles binary")
+    # Rows that repeat an id and its set are combined before the shuffle.
+    sets = sets.groupBy("id", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles"))
+    sets = materialize(sets.join(clusters, "id").select("component", "id", "shingles"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for (a, tile, role), part in runs(batches, 3):
-            if (a, tile) != group:
-                group, held = (a, tile), []
-            texts = [np.frombuffer(x, np.uint64) for x in part.column(4).to_pylist()]
-            if not role:
-                held += texts
-                continue
-            found = []
-            for b, y in zip(part.column(3).to_pylist(), texts, strict=True):
-                for x in held:
-                    few, many = (x, y) if len(x) < len(y) else (y, x)
-                    if 100 * len(few) < percent * len(many) or not len(few):
-                        continue
-                    place = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                    shared = int((many[place] == few).sum())
-                    if 100 * shared >= percent * (len(few) + len(many) - shared):
-                        found.append(b)
-                        break
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
-
-    ordered = both.repartition("a", "tile").sortWithinPartitions("a", "tile", "role")
-    return materialize(ordered.mapInArrow(compare, "a long, b long"), "links")
+        kept = None
+        for homes, part in tile_visits(batches, 2):
+            if kept is not homes:
+                kept = homes
+                hid = np.concatenate([h.column(3).to_numpy() for h in homes])
+                hsets = [np.frombuffer(x, np.uint64) for h in homes for x in h.column(4).to_pylist()]
+                sizes = np.array([len(s) for s in hsets])
+                flat, owner = np.concatenate(hsets), np.repeat(np.arange(len(hsets)), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                label = np.arange(len(hid))
+            for v, x in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                place = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+                shared = np.bincount(owner[place], minlength=len(hid))
+                linked = 100 * shared >= percent * (sizes + len(x) - shared)
+                linked &= hid != v
+                roots = np.unique(label[linked])
+                if len(roots):
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(roots), pa.int64()), pa.array(hid[roots])], names=["a", "b"])
+                    # What this visitor has connected needs no further links but to it.
+                    label[np.isin(label, roots)] = roots[0]
+
+    rows = tiled(sets, ["component"], "id", SETS)
+    return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -278,60 +311,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = all_rows.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    sigs = classes.select(F.col("rep").alias("id"), "sig")
-    least = least_agreement(percent)
-
     banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("band")
-    members = banded.withColumns({"centre": F.min("id").over(w), "n": F.count(F.lit(1)).over(w)}).filter("n > 1").drop("n")
-    members = materialize(members, "members")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        x, y = (sigs.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-        return materialize(pairs.join(x, "a").join(y, "b").filter(_agreeing("sig_a", "sig_b") >= least).select("a", "b").distinct(), "close")
-
-    stars = members.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(docs, key, text, close(stars), percent)
-    joined = components(links)
-
-    label = joined.select(F.col("id"), F.col("component").alias("label"))
-    labelled = members.join(label, "id", "left").select("band", "id", "centre", F.coalesce("label", "id").alias("label"))
-    split = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
-    # Pairs with a key's centre are settled; keys of two have no others.
-    rest = materialize(labelled.join(split, "band").filter("id != centre").select("band", "id", "label"), "rest")
-    if not rest.isEmpty():
-        rows = tiled(rest.join(sigs, "id").select("band", "id", "label", "sig"), ["band"], "id", TILE)
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, homes = None, []
-            for (band, tile, role), part in runs(batches, 3):
-                ids, labels = (part.column(k).to_numpy() for k in (3, 4))
-                sig = part.column(5).flatten().to_numpy().reshape(-1, LONGS)
-                if (band, tile) != group:
-                    group, homes = (band, tile), []
-                if not role:
-                    homes.append((ids, labels, sig))
-                    continue
-                if len(homes) > 1:
-                    homes = [tuple(map(np.concatenate, zip(*homes, strict=True)))]
-                if not homes:
-                    continue
-                hid, hlabel, hsig = homes[0]
-                for at in range(0, len(ids), 128):
-                    s = slice(at, at + 128)
-                    open_ = (hid[:, None] < ids[None, s]) & (hlabel[:, None] != labels[None, s])
-                    i, j = np.nonzero(open_)
-                    if len(i):
-                        near = agreement(hsig[i] ^ sig[s][j]) >= least
-                        i, j = i[near], j[near]
-                        yield pa.RecordBatch.from_arrays([pa.array(hid[i]), pa.array(ids[s][j])], names=["a", "b"])
-
-        pairs = materialize(rows.mapInArrow(compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = links.unionAll(_confirmed(docs, key, text, pairs, percent))
-            joined = components(links)
+    members = banded.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1").drop("n")
+    members = members.join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("band", "id", "sig")
+    clusters = _clusters(materialize(members, "members"), least_agreement(percent))
+    joined = components(_links(docs, key, text, clusters, percent))
 
     known = classes.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("id"), "left")
     known = known.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
