@@ -88,6 +88,19 @@ def texts_in(batch, column: str) -> Iterable[str]:
         yield "" if v is None else v
 
 
+def bisected(column: str | Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` lie below the column, as nested comparisons of logarithmic depth."""
+    value = F.col(column) if isinstance(column, str) else column
+
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > F.lit(bounds[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
+
+    return pick(0, len(bounds))
+
+
 def runs(batches, keys: int):
     """(key values, rows) for each run of equal values in the first ``keys`` integer columns; a run may come in parts."""
     for batch in batches:

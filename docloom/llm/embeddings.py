@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, runs, tiled
+from docloom.llm.common import bisected, materialize, runs, tiled
 from docloom.llm.components import components
 
 #: Blocks, members of a slab as a goal, homes of a tile, visitors compared at once.
@@ -76,29 +76,21 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                 )
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at], names=["id", "v", "at"])
 
+    kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     placed = rows.mapInArrow(firsts, "id long, v array<double>, at array<double>")
+    placed = materialize(placed.withColumn("v", F.col("v").cast(kept)), "placed")
     slabs = max(1, min(4096, math.ceil(total / SLAB)))
     steps = [i / slabs for i in range(1, slabs)]
-    bounds = [sorted(set(b)) if b else [] for b in placed.agg(*[F.percentile_approx(F.col("at")[k], steps, 10 * slabs) for k in range(blocks)]).first()] if steps else [[]] * blocks
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _matrix(batch.column(2), blocks)
-            for k in range(blocks):
-                edges, reach = np.array(bounds[k]), math.sqrt(shares[k])
-                lo, home, hi = (np.searchsorted(edges, at[:, k] + d, "left") for d in (-reach, 0, reach))
-                n = hi - lo + 1
-                row = np.repeat(np.arange(len(n)), n)
-                slab = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), k, np.int32)), pa.array(slab.astype(np.int32)), pa.array(slab == home[row]), taken.column(0), taken.column(1)],
-                    names=["block", "slab", "own", "id", "v"],
-                )
-
-    kept = "v array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "v array<double>"
-    dealt = placed.select("id", F.col("v").cast(kept.split()[1]).alias("v"), "at").mapInArrow(deal, f"block int, slab int, own boolean, id long, {kept}")
-    rows = tiled(dealt.filter("own").drop("own"), ["block", "slab"], "id", TILE, dealt.drop("own"))
+    bounds = [[]] * blocks
+    if steps:
+        bounds = [sorted(set(b or [])) for b in placed.agg(*[F.percentile_approx(F.col("at")[k], steps, 10 * slabs) for k in range(blocks)]).first()]
+    slab = lambda k, d: bisected(F.col("at")[k] + d, bounds[k])
+    reach = [math.sqrt(x) for x in shares]
+    homes = F.array(*[F.struct(F.lit(k).alias("block"), slab(k, 0.0).alias("slab")) for k in range(blocks)])
+    calls = F.array(*[F.struct(F.lit(k).alias("block"), slab(k, -reach[k]).alias("lo"), slab(k, reach[k]).alias("hi")) for k in range(blocks)])
+    members = placed.select(F.explode(homes).alias("p"), "id", "v").select("p.block", "p.slab", "id", "v")
+    visitors = placed.select(F.explode(calls).alias("p"), "id", "v").select("p.block", F.explode(F.sequence("p.lo", "p.hi")).alias("slab"), "id", "v")
+    rows = tiled(members, ["block", "slab"], "id", TILE, visitors)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, homes, ids, u, r = None, [], None, None, None
@@ -130,15 +122,16 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
             other_ids, other = part.column(4).to_numpy(), units(_matrix(part.column(5), width))
             other_r = other @ turn
             s = slice(cuts[block], cuts[block + 1])
-            hr = np.ascontiguousarray(r[:, s], np.float32)
+            # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.
+            ones = np.ones((len(r), 1))
+            hr = np.ascontiguousarray(np.concatenate([-2 * r[:, s], squares[block][:, None], ones], axis=1), np.float32)
+            limit = shares[block] + 1e-5  # for single precision
+            orr = np.concatenate([other_r[:, s], np.ones((len(other_r), 1)), (other_r[:, s] ** 2).sum(axis=1)[:, None] - limit], axis=1)
+            orr = np.ascontiguousarray(orr.T, np.float32)
             for at in range(0, len(other_ids), VISITORS):
                 oid, ou, orot = other_ids[at : at + VISITORS], other[at : at + VISITORS], other_r[at : at + VISITORS]
-                gap = hr @ np.ascontiguousarray(orot[:, s].T, np.float32)
-                # distance**2 = |x|**2 + |y|**2 - 2xy, compared without more arrays of this size; 1e-5 is for single precision
-                gap *= -2
-                gap += squares[block].astype(np.float32)[:, None]
-                gap += ((orot[:, s] ** 2).sum(axis=1) - shares[block] - 1e-5).astype(np.float32)
-                i, j = np.nonzero(gap <= 0)
+                found = np.flatnonzero((hr @ orr[:, at : at + VISITORS]).ravel() <= 0)
+                i, j = np.divmod(found, len(oid))
                 new = ids[i] != oid[j]
                 i, j = i[new], j[new]
                 for piece in range(0, len(i), 1 << 16):

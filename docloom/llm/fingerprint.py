@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SLOTS, materialize, repeated_slots, runs, set_bits, text_of
+from docloom.llm.common import SLOTS, bisected, materialize, repeated_slots, runs, set_bits, text_of
 
 #: Rows that are worked on together.
 SLICE = 512
@@ -121,7 +121,7 @@ def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
     ranges = max(1, min(total.n, RANGES, round((total.c or 0) / RANGE_CHARS)))
     bounds = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q if ranges > 1 else []
     bounds = sorted(set(bounds or []))
-    rows = rows.select(_bisected(bounds).cast("int").alias("part"), "id", "at", "text")
+    rows = rows.select(bisected("at", bounds).cast("int").alias("part"), "id", "at", "text")
     firsts = rows.groupBy("part").agg(F.min("at").alias("at")).collect()  # a row for each range
     firsts = sorted((r.part, r.at) for r in firsts)
     if not firsts:
@@ -136,18 +136,6 @@ def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
     return both.repartition(max(len(firsts), 1), "part").sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "text")
 
 
-def _bisected(bounds: list[int]):
-    """Index of the range of ``at`` among sorted bounds, as a nested expression of logarithmic depth."""
-
-    def pick(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("at") > F.lit(bounds[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
-
-    return pick(0, len(bounds))
-
-
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness.
 
