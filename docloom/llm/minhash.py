@@ -325,3 +325,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     out = out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those with its smallest id; of several such rows any one.
+
+    Rows with a null id are kept.
+    """
+    found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", percent)
+    kept = materialize(found.filter("kept AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(kept.filter("n = 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
+    out = [once.select(*names), docs.filter(F.col(key).isNull()).select(*names)]
+    if not kept.filter("n > 1").isEmpty():
+        # Rows that share an id: combined before the shuffle, so that an id with many rows sends one for each task.
+        many = docs.join(kept.filter("n > 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
+        many = many.groupBy(F.col(key).alias("_id")).agg(F.any_value(F.struct(*names)).alias("_row"))
+        out.append(many.select("_row.*"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionAll(more)
+    return rows
