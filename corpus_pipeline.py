@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     ranker = quality.fit(docs, labels, F.lit(True))
-    scored = quality.score(docs, ranker, "text", keep=[c for c in docs.columns if c != "text"])
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = quality.score(docs, ranker, keep=docs.columns)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... so that no name clashes with an operator's own, and the new names of ``names``."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), [at[n] for n in names]
+
+
 def repeated_slots(slots: DataFrame, column: str = "slot") -> bytes:
     """Bit map of the slots that two rows or more have; ``column`` holds longs in [0, SLOTS).
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SLOTS, materialize, repeated_slots, set_bits, text_of
+from docloom.llm.common import SLOTS, materialize, plain, repeated_slots, set_bits, text_of
 
 WINDOW, DIVISOR = 2, 3
 SLICE = 256
@@ -70,6 +70,8 @@ def chunk_slots(docs: DataFrame, text: str) -> DataFrame:
 
 def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks removed from ``text``, and n_lines, n_removed_lines."""
+    given = docs.columns
+    docs, (key, text) = plain(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_slots(chunk_slots(docs, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
     gone = gone.groupBy("at", "h").agg(F.array_sort(F.collect_list("r")).alias("_gone"))
 
     names = docs.columns
-    left = docs.select(*[F.col(f"`{c}`") for c in names], at.alias("_at"), h.alias("_h"))
+    left = docs.select(*names, at.alias("_at"), h.alias("_h"))
     gone = gone.select(F.col("at").alias("_at"), F.col("h").alias("_h"), "_gone")
     joined = left.join(gone, ["_at", "_h"], "left")
     lines = F.split(F.col(text), "\n")
@@ -110,6 +112,7 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
     starts = F.concat(F.transform("_gone", lambda r: r.first), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(ends, starts, lambda e, s: F.slice(lines, e + 1, s - e)))
     removed = F.aggregate("_gone", F.lit(0), lambda x, r: x + r.n)
-    out = [F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed_lines")]
-    return joined.select(*out, *[c for c, n in zip(counts, ("n_lines", "n_removed_lines"), strict=True) if n not in names])
+    out = [F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in names]
+    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(removed, F.lit(0))}
+    counts = {k: v.cast("long") for k, v in counts.items() if k not in given}
+    return joined.select(*out, *counts.values()).toDF(*given, *counts)

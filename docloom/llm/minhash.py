@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import id_slot, materialize, set_bits, slot_map, text_of, tile_visits, tiled
+from docloom.llm.common import id_slot, materialize, plain, set_bits, slot_map, text_of, tile_visits, tiled
 from docloom.llm.components import components
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
@@ -334,15 +334,12 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     """
     found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", percent)
     kept = materialize(found.filter("kept AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.join(kept.filter("n = 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
-    out = [once.select(*names), docs.filter(F.col(key).isNull()).select(*names)]
+    rows, (id_,) = plain(docs, key)
+    once = rows.join(kept.filter("n = 1").select("id"), F.col(id_) == F.col("id"), "left_semi")
+    out = once.unionAll(rows.filter(F.col(id_).isNull()))
     if not kept.filter("n > 1").isEmpty():
         # Rows that share an id: combined before the shuffle, so that an id with many rows sends one for each task.
-        many = docs.join(kept.filter("n > 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
-        many = many.groupBy(F.col(key).alias("_id")).agg(F.any_value(F.struct(*names)).alias("_row"))
-        out.append(many.select("_row.*"))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionAll(more)
-    return rows
+        many = rows.join(kept.filter("n > 1").select("id"), F.col(id_) == F.col("id"), "left_semi")
+        many = many.groupBy(F.col(id_).alias("id")).agg(F.any_value(F.struct(*rows.columns)).alias("row"))
+        out = out.unionAll(many.select("row.*"))
+    return out.toDF(*docs.columns)

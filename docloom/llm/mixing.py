@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, text_of
+from docloom.llm.common import materialize, plain, text_of
 from docloom.llm.minhash import word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most; buckets of hashed words; iterations at most.
@@ -204,9 +204,9 @@ def resampled(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str
     Chance is a hash of the row's key and text, so a rerun gives the same rows.
     """
     chance = F.pmod(F.xxhash64(F.lit("mix"), key, "h"), F.lit(1 << 30)) / float(1 << 30)
-    times = mixed.select(F.col(key).alias("_key"), F.col("h").alias("_h"), F.floor(F.col("rate") + chance).cast("int").alias("_times"))
-    times = times.groupBy("_key", "_h").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    names = docs.columns
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    rows = rows.join(times.withColumnRenamed("_h", "_g"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_g")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in names])
+    times = mixed.select(F.col(key).alias("key"), F.col("h").alias("g"), F.floor(F.col("rate") + chance).cast("int").alias("times"))
+    times = times.groupBy("key", "g").agg(F.max("times").alias("times")).filter("times > 0")
+    rows, (id_, words) = plain(docs, key, text)
+    names = rows.columns
+    rows = rows.withColumn("h", F.xxhash64(words)).join(times, F.col(id_).eqNullSafe(F.col("key")) & (F.col("h") == F.col("g")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*names).toDF(*docs.columns)
