@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks.
 
-A text's lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk where it is divisible by
-DIVISOR. Boundaries depend on nearby lines only, so a passage that starts elsewhere in another text falls into the same
+A text's lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk of two lines or more where
+it is divisible by DIVISOR. Boundaries depend on nearby lines only, so a passage that starts elsewhere in another text falls into the same
 chunks but for its edges. A chunk of two lines or more that occurs again anywhere in the corpus is removed everywhere
 but in the row with the smallest id, where its first occurrence stays.
 
@@ -43,7 +43,7 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
         h = digest(line)
         rolled = (h * _TURN[0] + last * _TURN[1]) & _ALL
         last = h
-        if (rolled >> 32) % DIVISOR == 0 or i + 1 == len(lines):
+        if i > start and (rolled >> 32) % DIVISOR == 0 or i + 1 == len(lines):
             if i > start:
                 whole = b"\n".join(lines[start : i + 1])
                 if not whole.isspace() and whole:
