@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import normalized_block, stripped
+from docloom.functions.text import normalized_block
 
 HEADING = r"(?s)^(#{1,6})\s+(.+?)\s*\z"
 LEVELS = range(1, 7)
@@ -18,9 +18,17 @@ LEVELS = range(1, 7)
 def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sec_ord, title, body): sections with a body, numbered from 0 in their order.
 
-    A text without any body line is one untitled section of itself; an empty text has none.
+    A text without any body line is one untitled section of itself; an empty text has none. Texts without a heading
+    are one section as they are and need no shuffle; only the others' lines are windowed.
     """
     whole = docs.select(F.col(key).alias("key"), normalized_block(F.coalesce(F.col(text), F.lit(""))).alias("whole")).filter("whole != ''")
+    headed = F.regexp_like("whole", F.lit(r"(?m)^#{1,6}\s+\S"))
+    plain = whole.filter(~headed).select(F.col("key").alias(key), F.lit(0).alias("sec_ord"), F.lit("").alias("title"), F.col("whole").alias("body"))
+    return plain.unionByName(_headed_sections(whole.filter(headed)).withColumnRenamed("key", key))
+
+
+def _headed_sections(whole: DataFrame) -> DataFrame:
+    """Sections of normalised texts (key, whole), by windows over lines."""
     lines = whole.select("key", "whole", F.posexplode(F.split("whole", "\n")).alias("n", "line"))
     lines = lines.withColumn("level", F.length(F.regexp_extract("line", HEADING, 1)))
     lines = lines.withColumn("heading", F.when(F.col("level") > 0, F.struct("level", F.regexp_extract("line", HEADING, 2).alias("title"))))
@@ -39,11 +47,11 @@ def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     body = body.withColumn("body", normalized_block(F.array_join(F.transform("rows", lambda r: r.line), "\n")))
     per_key = Window.partitionBy("key")
-    body = body.withColumn("bodies", F.sum((F.col("body") != "").cast("int")).over(per_key)).filter("body != '' OR (bodies = 0 AND section = 0) OR bodies = 0")
+    body = body.withColumn("bodies", F.sum((F.col("body") != "").cast("int")).over(per_key)).filter("body != '' OR bodies = 0")
     body = body.withColumn("sec_ord", F.row_number().over(per_key.orderBy("section")) - 1).filter("bodies > 0 OR sec_ord = 0")
     none = F.col("bodies") == 0
     return body.select(
-        F.col("key").alias(key), "sec_ord", F.when(none, "").otherwise(F.col("title")).alias("title"), F.when(none, F.col("whole")).otherwise(F.col("body")).alias("body")
+        "key", "sec_ord", F.when(none, "").otherwise(F.col("title")).alias("title"), F.when(none, F.col("whole")).otherwise(F.col("body")).alias("body")
     )
 
 
@@ -58,7 +66,3 @@ def dispatched_sections(docs: DataFrame, key: str, path: str, text: str) -> Data
     unread = marked.select(key, text).join(from_html.select(key).distinct(), key, "left_anti")
     return from_html.select(key, "sec_ord", "title", "body").unionByName(text_sections(others.unionByName(unread), key, text))
 
-
-def is_blank(x: str):
-    """Whether nothing but white space is left."""
-    return stripped(x) == ""

@@ -120,6 +120,27 @@ def result_error(payload: str | Column) -> Column:
     return out
 
 
+SCRIPT = """import json
+
+
+def main(simulate):
+    # simulate(start, stop, points) returns (frequency, gain in dB) pairs between the two nodes.
+    nodes = ({input_node!r}, {output_node!r})
+    sweep = list(simulate({start_hz!r}, {stop_hz!r}, {points!r}))
+    limit = max(gain for _, gain in sweep) + {target_gain_db!r}
+    passed = [f for f, gain in sweep if gain < limit]
+    found = passed[0] if passed else 0.0
+    result = {{"status": "PASS" if found > 0 else "FAIL", "metrics": {{"bandwidth_hz": found}}, "notes": list(nodes)}}
+    with open("result.json", "w") as f:
+        json.dump(result, f)
+"""
+
+
+def sweep_script(parameters: dict) -> str:
+    """Source of a bandwidth measurement with the given parameters (keys of DEFAULTS). It is text and never run here."""
+    return SCRIPT.format(**(DEFAULTS | parameters))
+
+
 def retryable(message: str | Column) -> Column:
     """Whether an embedding error may pass."""
     m = F.lower(message)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -124,7 +125,10 @@ class Engine:
         return Answer(ev.evidence(out), warnings)
 
     def run(self, query: str, top_k: int = 6, circuit: str = "", execute: bool = False) -> dict:
-        """One request: task id, kind of test, prompt or parameters, generated text if a chat client is given, evidence."""
+        """One request: evidence, and a script from a chat client's answer, or with ``execute`` from the parameters in it.
+
+        The script is written to the task's folder on the driver; generated code is never run.
+        """
         if not query or not 1 <= top_k <= 20:
             raise ValueError("query is required and top_k must be between 1 and 20")
         asked = self.spark.createDataFrame([(0, query)], "query long, query_text string")
@@ -139,6 +143,15 @@ class Engine:
         context = ev.prompt_context(answer.hits).first().context
         prompt = f"{query}\n{circuit}\n{plan}\n{metric}: {method}\n{context}"
         text = self.chat([{"role": "user", "content": prompt}]) if self.chat else ""
-        code = self.spark.createDataFrame([(text,)], "t string").select(taskspec.without_fence("t")).first()[0]
+        said = self.spark.createDataFrame([(text,)], "t string")
+        if execute:
+            code = taskspec.sweep_script(said.select(*[c.alias(k) for k, c in taskspec.sweep_parameters("t").items()]).first().asDict())
+        else:
+            code = said.select(taskspec.without_fence("t")).first()[0]
+        task = new_task_id()
+        folder = os.path.join(self.settings.work_dir, task)
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, "main.py"), "w", encoding="utf-8") as f:
+            f.write(code)
         items = [{"source": h.source, "score": h.score, "snippet": h.snippet} for h in hits]
-        return {"task_id": new_task_id(), "status": "generated", "generated_code": code, "metrics": {}, "logs": {"stderr": "\n".join(answer.warnings)}, "evidence": items, "error": None}
+        return {"task_id": task, "status": "generated", "generated_code": code, "metrics": {}, "logs": {"stderr": "\n".join(answer.warnings)}, "evidence": items, "error": None}

@@ -106,7 +106,7 @@ def test_engine(spark, tmp_path):
     folder.mkdir()
     (folder / "a.md").write_text("# Gain\n" + "loop gain of the amplifier is measured here with care. " * 3)
     (folder / "b.html").write_text("<h1>FFT</h1><p>" + "spectrum of the converter and its spurs are shown. " * 3 + "</p>")
-    settings = Settings(resource_dir=str(folder), index_dir=f"file://{tmp_path}/index")
+    settings = Settings(resource_dir=str(folder), index_dir=f"file://{tmp_path}/index", work_dir=str(tmp_path / "work"))
     engine = Engine(spark, settings)
     assert engine.reindex().first().chunks == 2
     answer = engine.run("loop gain", 2, execute=False)
@@ -114,6 +114,11 @@ def test_engine(spark, tmp_path):
     rows = engine.retrieve(spark.createDataFrame([(1, "spectrum"), (2, "gain")], "query long, query_text string"), 1).hits.collect()
     assert {(r.query, r.source.rsplit("/", 1)[-1]) for r in rows} == {(1, "b.html"), (2, "a.md")}
 
+    asked = engine.run("bandwidth", 1, execute=True)
+    assert "'vin'" in (tmp_path / "work" / asked["task_id"] / "main.py").read_text()
+    with pytest.raises(ValueError):
+        engine.run("sfdr", 1, execute=True)
+
     class Broken:
         def embed(self, model, texts):
             raise ModelError("bad key")
