@@ -28,7 +28,7 @@ from docloom.llm.common import text_of
 #: White space, letters and numbers of Latin-1, as Unicode has them.
 _SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: A worker keeps the ids of so many different matches at most, then starts anew; results don't depend on it.
-KNOWN = 400_000
+KNOWN = 100_000
 #: Texts longer than this are encoded in spans that end between two matches of the pattern.
 SPAN = 1 << 16
 
@@ -60,7 +60,7 @@ class ByteBpe:
             (rank, i, token) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
         )
         merges = [(spelled(token[:i]), spelled(token[i:])) for _, i, token in pairs]
-        model = models.BPE({spelled(t): r for t, r in ranks.items()}, merges, cache_capacity=200_000, ignore_merges=True)
+        model = models.BPE({spelled(t): r for t, r in ranks.items()}, merges, cache_capacity=10_000, ignore_merges=True)
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = model
         self.spelling = {b: c for b, c in self.chars.items() if chr(b) != c}
@@ -153,6 +153,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
                 part = batch.slice(at, 256)
                 ids = pa.array(bpe.encode(part.column(1).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+        bpe.known.clear()  # workers are used again for other stages
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -179,6 +180,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
                     [part.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.known.clear()
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
