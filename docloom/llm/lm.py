@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     """(key, taught, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows that teach."""
     spark = docs.sparkSession
     batches = packed(docs, teaches, key, text)
-    size = batches.agg(F.sum("n_words").alias("words"), F.sum("n_taught").alias("total"), F.sum(F.size(F.filter("taught", lambda t: t))).alias("texts")).first()
+    size = batches.agg(F.sum("n_words").alias("words"), F.sum("n_taught").alias("total"), F.sum(F.size(F.filter("taught", lambda t: t))).alias("texts"), F.count(F.lit(1)).alias("n")).first()
     total, texts = size.total or 0, size.texts or 0
     buckets = max(12, math.ceil((size.words or 0) / BUCKET))
     counts = exchanged(batches, buckets)
@@ -302,6 +302,6 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
         "batch", F.lit(0).alias("role"), "bucket", "data", null("array<long>").alias("keys"), null("array<boolean>").alias("taught"),
         null("array<int>").alias("sizes"), null("binary").alias("ids"), null("binary").alias("words"),
     )
-    both = counts_side.unionAll(texts_side).repartition("batch").sortWithinPartitions("batch", "role", "bucket")
+    both = counts_side.unionAll(texts_side).repartition(max(1, size.n), "batch").sortWithinPartitions("batch", "role", "bucket")
     out = both.mapInArrow(run, "key long, taught boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
