@@ -109,6 +109,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM w
+        ), x AS (SELECT doc_id, len(s) AS k, hash(unnest(s)) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b USING (g)
+              WHERE a.doc_id <> b.doc_id AND 100 * a.k >= 85 * b.k AND 100 * b.k >= 85 * a.k GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 85 * (len(sa.s) + len(sb.s) - n)
+        ), reach AS (
+            SELECT doc_id AS id, doc_id AS r FROM s UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
+        )
+        SELECT doc_id, len(any_value(s)) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM s JOIN reach ON id = doc_id GROUP BY doc_id
+    """,
+    "op6_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        ), n AS (
+            SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens, lead(role) OVER w IS DISTINCT FROM role AS closes,
+                   length(text) + len(regexp_extract_all(text, '[\\<#]')) AS text_chars, length(role) + len(regexp_extract_all(role, '[\\<#:]')) AS role_chars
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(text_chars + CASE WHEN opens THEN 6 + role_chars ELSE 3 END + CASE WHEN closes THEN 9 ELSE 0 END)::BIGINT AS formatted_chars
+        FROM n GROUP BY conv_id
+    """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
+        ), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT id AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r) AS component_id, id = min(r) AS kept FROM reach LEFT JOIN n ON a = id GROUP BY id
+    """,
     "op2_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS digest FROM pages
