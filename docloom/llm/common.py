@@ -125,25 +125,34 @@ def runs(batches, keys: int):
 def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors: DataFrame | None = None) -> DataFrame:
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
-    Each member is at home (``role`` 0) in one of ``ceil(members / size)`` tiles of its group, dealt by its hash, and
-    each visitor (``role`` 1) comes to all of them. Without ``visitors`` the members visit each other; then a group of
-    one tile has no visitors, as its homes are compared among themselves. The result is spread by group and tile and
-    sorted so that a tile's homes come first: a task holds about ``size`` homes and streams the visitors.
+    Members are dealt by their hash to ``ceil(members / size)`` tiles of their group. Without ``visitors``, there is a
+    task for each pair of tiles: it gets the members of the first as homes (``role`` 0) and those of the second as
+    visitors (``role`` 1), about ``2 * size`` rows; a tile's own members are compared in a task without visitors. With
+    ``visitors``, these come to every tile of their group, where they are streamed. The result, with the columns tile and
+    other behind the group's, is spread by all these and sorted so that homes come first.
     """
     tiles = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_tiles"))
-    home = members.join(tiles, group).withColumn("tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
-    home = home.withColumn("role", F.lit(0)).drop("_tiles")
-    guests = members.join(tiles.filter("_tiles > 1"), group) if visitors is None else visitors.join(tiles, group)
-    guests = guests.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("role", F.lit(1))
-    both = home.unionByName(guests.drop("_tiles"))
-    first = [*group, "tile", "role"]
-    both = both.select(*first, *[c for c in both.columns if c not in first])
-    return both.repartition(*group, "tile").sortWithinPartitions(*first)
+    home = members.join(tiles, group).withColumn("_tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    if visitors is None:
+        both = home.withColumn("_k", every).withColumns(
+            {
+                "tile": F.least("_tile", "_k"),
+                "other": F.greatest("_tile", "_k"),
+                "role": F.when(F.col("_k") >= F.col("_tile"), 0).otherwise(1),
+            }
+        ).drop("_k", "_tile")
+    else:
+        guests = visitors.join(tiles, group).withColumn("tile", every).withColumns({"other": F.lit(0), "role": F.lit(1)})
+        both = home.withColumnRenamed("_tile", "tile").withColumns({"other": F.lit(0), "role": F.lit(0)}).unionByName(guests)
+    first = [*group, "tile", "other", "role"]
+    both = both.select(*first, *[c for c in both.columns if c not in first and c != "_tiles"])
+    return both.repartition(*group, "tile", "other").sortWithinPartitions(*first)
 
 
 def tile_visits(batches, keys: int):
     """(homes, visitors) of ``tiled`` rows: record batches of a tile's homes, and a batch of its visitors or, if there
-    are none, the homes themselves. ``keys``: columns of group and tile; ``role`` follows them."""
+    are none, the homes themselves. ``keys``: columns of group, tile and other; ``role`` follows them."""
     group, homes, visited = None, [], False
     for (*key, role), part in runs(batches, keys + 1):
         if key != group:

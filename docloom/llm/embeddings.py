@@ -105,12 +105,12 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
                     pairs.clear()
 
-        for (block, slab, tile, role), part in runs(batches, 4):
+        for (block, slab, tile, _, role), part in runs(batches, 5):
             if (block, slab, tile) != group:
                 group, homes, u = (block, slab, tile), [], None
                 yield from flush()
             if not role:
-                homes.append((part.column(4).to_numpy(), _matrix(part.column(5), width)))
+                homes.append((part.column(5).to_numpy(), _matrix(part.column(6), width)))
                 continue
             if not homes:
                 continue
@@ -119,7 +119,7 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                 u = units(np.concatenate([x[1] for x in homes]))
                 r = u @ turn
                 squares = [(r[:, cuts[k] : cuts[k + 1]] ** 2).sum(axis=1) for k in range(blocks)]
-            other_ids, other = part.column(4).to_numpy(), units(_matrix(part.column(5), width))
+            other_ids, other = part.column(5).to_numpy(), units(_matrix(part.column(6), width))
             other_r = other @ turn
             s = slice(cuts[block], cuts[block + 1])
             # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.

@@ -223,12 +223,12 @@ def _clusters(members: DataFrame, least: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, made = None, None
-        for homes, part in tile_visits(batches, 2):
+        for homes, part in tile_visits(batches, 3):
             if kept is not homes:
                 kept = homes
-                hid = np.concatenate([h.column(3).to_numpy() for h in homes])
-                hsig = np.concatenate([h.column(4).flatten().to_numpy() for h in homes]).reshape(-1, LONGS)
-            ids, sig = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(-1, LONGS)
+                hid = np.concatenate([h.column(4).to_numpy() for h in homes])
+                hsig = np.concatenate([h.column(5).flatten().to_numpy() for h in homes]).reshape(-1, LONGS)
+            ids, sig = part.column(4).to_numpy(), part.column(5).flatten().to_numpy().reshape(-1, LONGS)
             n = len(hid)
             for at in range(0, len(ids), 256):
                 v, vsig = ids[at : at + 256], sig[at : at + 256]
@@ -277,17 +277,17 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for homes, part in tile_visits(batches, 2):
+        for homes, part in tile_visits(batches, 3):
             if kept is not homes:
                 kept = homes
-                hid = np.concatenate([h.column(3).to_numpy() for h in homes])
-                hsets = [np.frombuffer(x, np.uint64) for h in homes for x in h.column(4).to_pylist()]
+                hid = np.concatenate([h.column(4).to_numpy() for h in homes])
+                hsets = [np.frombuffer(x, np.uint64) for h in homes for x in h.column(5).to_pylist()]
                 sizes = np.array([len(s) for s in hsets])
                 flat, owner = np.concatenate(hsets), np.repeat(np.arange(len(hsets)), sizes)
                 order = np.argsort(flat, kind="stable")
                 flat, owner = flat[order], owner[order]
                 label = np.arange(len(hid))
-            for v, x in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+            for v, x in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                 x = np.frombuffer(x, np.uint64)
                 lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
                 n = hi - lo
