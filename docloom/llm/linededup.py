@@ -6,8 +6,8 @@ chunks but for its edges. A chunk of two lines or more that occurs again anywher
 but in the row with the smallest id, where its first occurrence stays.
 
 Chunks whose digest may repeat (told by a slot map of fixed size) are grouped by digest and bytes: the bytes decide, so
-a collision of digests removes nothing. Groups are pre-aggregated; the join back is by digest and bytes, where a chunk
-held by a third of all rows is split by adaptive execution.
+a collision of digests removes nothing. Groups are pre-aggregated. The join back is by digest and bytes, but for the
+chunks that occur most, of which there are a bounded number: they are joined by broadcast of two digests and the length.
 
 Defined cases: null texts stay null and count as empty; chunks of white space only are never removed; of rows that share
 the smallest id all keep the chunk's first occurrence; null ids sort before others; a text of which everything is
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import SLOTS, materialize, plain, repeated_slots, set_bits, text_of
 
 WINDOW, DIVISOR = 2, 3
+#: Chunks that are joined by broadcast, at most.
+HOT = 10_000
 SLICE = 256
 _TURN = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _ALL = 2**64 - 1
@@ -98,8 +100,17 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
     found = rows.mapInArrow(run, "at long, h long, first int, n int, again boolean, d1 long, d2 long, chunk binary")
     found = materialize(found, "chunks")
     same = ["d1", "d2", "chunk"]
-    classes = found.groupBy(*same).agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    gone = found.join(classes, same).filter("again OR at != owner")
+    classes = found.groupBy(*same).agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    classes = materialize(classes, "classes")
+    # At most HOT chunks have a HOT-th of the occurrences: these are joined by broadcast, as a few numbers each, so no
+    # task gets all rows of one of them. The others are joined by digest and bytes.
+    often = F.col("times") >= max(2.0, found.count() / HOT)
+    known = classes.withColumns({"size": F.octet_length("chunk"), "more": F.xxhash64("chunk")})
+    hot = F.broadcast(known.filter(often).select("d1", "d2", "size", "more", F.col("owner").alias("hot_owner")))
+    marked = found.withColumns({"size": F.octet_length("chunk"), "more": F.xxhash64("chunk")}).join(hot, ["d1", "d2", "size", "more"], "left")
+    rows = marked.filter("hot_owner IS NOT NULL").select("at", "h", "first", "n", "again", F.col("hot_owner").alias("owner"))
+    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often), same)
+    gone = rows.unionAll(rest.select("at", "h", "first", "n", "again", "owner")).filter("again OR at != owner")
     gone = gone.select("at", "h", F.struct("first", "n").alias("r")).distinct()
     gone = gone.groupBy("at", "h").agg(F.array_sort(F.collect_list("r")).alias("_gone"))
 
