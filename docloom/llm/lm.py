@@ -5,17 +5,20 @@ failure arcs: the state after a token is that token, if arcs leave it. An arc (p
 relative frequency of the bigram; without one the failure arc's backoff weight is added and the word is scored in the
 root: its discounted count over all training tokens, plus the discounted mass spread evenly over the known words and the
 unknown one. The events are those of the base score, all words not seen in training being one, and the weights of each
-state's words sum to one.
+state's words sum to one. Every bigram of the training texts seen LEAST times or more is an arc, so arcs grow with the corpus.
 
-Counts of words are exact, over all training texts, and exchanged with bounded tasks: tasks pack texts into batches of
-about BATCH tokens, send each batch's distinct words to the buckets of the words' hashes, and get the corpus counts back
-in the order sent; a frequent word is one entry of each batch. Bigrams become arcs if their relative frequency is at least
-FLOOR and they are GAIN times as likely as their word in the root, so there are 1 / FLOOR at most, whatever the corpus:
-this bounds what is broadcast. Pruned mass goes to the failure arcs.
+All counts are exact and exchanged with bounded tasks; nothing of the model is held by the driver or broadcast:
+1. Tasks pack texts into batches of about BATCH tokens and send each batch's distinct words to the buckets of the words'
+   hashes. They get corpus counts back, and places in the bucket, which number all words.
+2. Each batch sends its distinct bigrams, as two numbers, to the buckets of their hashes, and gets corpus counts back.
+   The buckets add up, for each previous word, what its arcs take.
+3. These sums go to the previous word's bucket, which sends each batch the backoff weights of its words.
+A frequent word or bigram is one entry of each batch, a frequent state one sum of each bucket of bigrams.
 
 Defined cases: null and empty texts are one end; texts are never cut; null ids are scored and, as the caller's condition
 is null for them, not learnt from; repeated rows count as often as they occur; with no training texts all counts are 0
-and the unknown word has probability 1; an empty table gives an empty result; other columns are ignored.
+and the unknown word has probability 1; an empty table gives an empty result; other columns are ignored. Bigrams are
+numbered in 64 bits: more than 2**32 distinct words raise.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -35,9 +38,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, runs, text_of
 
-#: Tokens of a batch, distinct words of a bucket as a goal, least relative frequency of an arc, and how many times its
-#: word's probability in the root it is worth at least.
-BATCH, BUCKET, FLOOR, GAIN = 1_500_000, 400_000, 5e-6, 2.0
+#: Tokens of a batch, distinct words of a bucket and bigrams of a bucket as goals.
+BATCH, BUCKET, PAIRS = 1_500_000, 400_000, 2_000_000
+#: Occurrences of an arc. Its share of the tokens (FLOOR) and its gain over the root (GAIN) aren't limited.
+LEAST, FLOOR, GAIN = 2, 0.0, 0.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -47,16 +51,16 @@ def tokens(text: str) -> list[bytes]:
 
 
 def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
-    """Batches of texts: (batch, keys, taught, sizes, ids, words, counts, n_words, n_taught).
+    """Batches of texts: (batch, keys, taught, sizes, ids, words, crcs, counts, n_words, n_taught).
 
     ids: uint32 numbers of all tokens, ends included, in ``words`` (joined by line feeds; the first, empty one is the
-    end); counts: uint32 occurrences of each word in texts that teach.
+    end); crcs: uint32 hash of each word; counts: uint32 occurrences of each word in texts that teach.
     """
     limit = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, taught, sizes, ids, vocab = [], [], [], array("I"), defaultdict(count().__next__)
-        names = ["batch", "keys", "taught", "sizes", "ids", "words", "counts", "n_words", "n_taught"]
+        names = ["batch", "keys", "taught", "sizes", "ids", "words", "crcs", "counts", "n_words", "n_taught"]
 
         def out():
             flat = np.frombuffer(ids, np.uint32)
@@ -65,7 +69,7 @@ def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
             row = [
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
                 pa.array([taught], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()),
-                pa.array([b"\n".join(vocab)], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
+                pa.array([b"\n".join(vocab)], pa.binary()), pa.array([np.fromiter(map(zlib.crc32, vocab), np.uint32, len(vocab)).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
                 pa.array([len(vocab)], pa.int64()), pa.array([int(mask.sum())], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(row, names=names)
@@ -89,79 +93,81 @@ def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(teaches, F.lit(False)).alias("t"), text_of(text).alias("s"))
-    schema = "batch long, keys array<long>, taught array<boolean>, sizes array<int>, ids binary, words binary, counts binary, n_words long, n_taught long"
+    schema = "batch long, keys array<long>, taught array<boolean>, sizes array<int>, ids binary, words binary, crcs binary, counts binary, n_words long, n_taught long"
     return materialize(rows.mapInArrow(run, schema), "batches")
 
 
-def _buckets(words: list[bytes], n: int) -> np.ndarray:
-    crc = zlib.crc32
-    return np.fromiter((crc(w) for w in words), np.uint32, len(words)) % n
-
-
 def _by_bucket(buckets: np.ndarray, n: int) -> list[np.ndarray]:
     order = np.argsort(buckets, kind="stable")
     return np.split(order, np.searchsorted(buckets[order], np.arange(1, n)))
 
 
-def exchanged(batches: DataFrame, buckets: int) -> DataFrame:
-    """(kind, batch, bucket, n, data, words, codes, counts) rows from the buckets of words.
+def shrunk(x: np.ndarray) -> bytes:
+    """Compressed bytes of 64-bit numbers, those of equal weight together."""
+    return pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    """The ``n`` numbers that were shrunk."""
+    raw = np.frombuffer(pa.decompress(data, n * 8, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(kind)
+
+
+#: Rows that buckets answer with: role 0 words (counts, places), 1 bigrams (counts), 2 backoff weights; of no batch:
+#: 3 sums of a bucket of words (words, seen once, twice), 4 sums of states (places, counts, words' counts, arcs), 5 those
+#: of the start.
+ANSWER = "role int, batch long, bucket int, n int, a binary, b binary, c binary, d binary, s0 long, s1 long, s2 long"
+
+
+def answer_row(role: int, batch: int | None, bucket: int, n: int, arrays: Iterable[np.ndarray] = (), sums: list[int] | None = None) -> pa.RecordBatch:
+    data = [shrunk(x) for x in arrays]
+    row = [role, batch, bucket, n, *data, *[None] * (4 - len(data)), *(sums or [None] * 3)]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["role", "batch", "bucket", "n", "a", "b", "c", "d", "s0", "s1", "s2"])
 
-    kind 0: the corpus counts (uint64) of a batch's words in a bucket, in the order of their numbers. kind 1: how many
-    words have been seen, once, twice (``codes``). kind 2: words and counts of a bucket that reach FLOOR.
-    """
-    total = batches.agg(F.sum("n_taught").alias("n")).first().n or 0
-    least = max(2, math.ceil(FLOOR * total))
+
+def of_each(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(first column, tuples of the others) of each run of rows."""
+    now, held = None, []
+    for (b,), part in runs(rows, 1):
+        if b != now:
+            if held:
+                yield now, held
+            now, held = b, []
+        held += zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)
+    if held:
+        yield now, held
+
+
+def exchanged(batches: DataFrame, buckets: int) -> DataFrame:
+    """Answers (ANSWER) of roles 0 and 3 from the buckets of words, in the order of a batch's numbers."""
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            for batch, words, counts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            for batch, words, crcs, counts in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 words, counts = words.split(b"\n"), np.frombuffer(counts, np.uint32)
                 sent = [], [], [], []
-                for bucket, chosen in enumerate(_by_bucket(_buckets(words, buckets), buckets)):
+                for bucket, chosen in enumerate(_by_bucket(np.frombuffer(crcs, np.uint32) % buckets, buckets)):
                     if len(chosen):
                         for to, x in zip(sent, (bucket, batch, b"\n".join([words[i] for i in chosen.tolist()]), counts[chosen].tobytes()), strict=True):
                             to.append(x)
                 kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(sent, kinds, strict=True)], names=["bucket", "batch", "words", "counts"])
 
-    names = ["kind", "batch", "bucket", "data", "words", "codes", "counts"]
-
-    def row(kind, batch, bucket, data=None, words=None, codes=(), counts=()):
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()),
-                pa.array([words], pa.list_(pa.binary())), pa.array([codes], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-            ],
-            names=names,
-        )
-
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket, asked):
-            totals: dict[bytes, int] = defaultdict(int)
-            for _, words, counts in asked:
-                for w, c in zip(words.split(b"\n"), np.frombuffer(counts, np.uint32).tolist(), strict=True):
-                    totals[w] += c
-            for batch, words, _ in asked:
-                yield row(0, batch, bucket, np.array([totals[w] for w in words.split(b"\n")], np.uint64).tobytes())
-            known = np.fromiter(totals.values(), np.int64, len(totals))
-            yield row(1, None, bucket, codes=[int((known > 0).sum()), int((known == 1).sum()), int((known == 2).sum())])
-            often = [w for w, c in totals.items() if c >= least]
-            yield row(2, None, bucket, words=often, counts=[totals[w] for w in often])
-
-        bucket, asked = None, []
-        for (b,), part in runs(rows, 1):
-            if b != bucket:
-                if asked:
-                    yield from done(bucket, asked)
-                bucket, asked = b, []
-            asked += zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
-        if asked:
-            yield from done(bucket, asked)
-
-    sent = batches.select("batch", "words", "counts").mapInArrow(ask, "bucket int, batch long, words binary, counts binary")
+        for bucket, asked in of_each(rows):
+            places: dict[bytes, int] = defaultdict(count().__next__)
+            spelled = [np.array([places[w] for w in words.split(b"\n")], np.int64) for _, words, _ in asked]
+            totals = np.zeros(len(places), np.int64)
+            for at, (_, _, counts) in zip(spelled, asked, strict=True):
+                totals[at] += np.frombuffer(counts, np.uint32)
+            for at, (batch, _, _) in zip(spelled, asked, strict=True):
+                yield answer_row(0, batch, bucket, len(at), [totals[at], at])
+            yield answer_row(3, None, bucket, len(places), sums=[int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())])
+
+    sent = batches.select("batch", "words", "crcs", "counts").mapInArrow(ask, "bucket int, batch long, words binary, counts binary")
     sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
-    schema = "kind int, batch long, bucket int, data binary, words array<binary>, codes array<long>, counts array<long>"
-    return materialize(sent.mapInArrow(answer, schema), "counts")
+    return materialize(sent.mapInArrow(answer, ANSWER), "counts")
 
 
 def discount(n1: float, n2: float) -> float:
@@ -169,139 +175,191 @@ def discount(n1: float, n2: float) -> float:
     return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
 
-class Model:
-    """Frequent words are numbered; the number after the last is the start of a text."""
+class Root:
+    """Sizes of the training texts; ``words``: buckets of words, ``places``: of a bucket at most, ``pairs``: buckets of bigrams."""
 
-    def __init__(self, total: int, seen: tuple[int, int, int], texts: int):
+    def __init__(self, total: int, seen: tuple[int, int, int], texts: int, words: int, places: int, pairs: int):
         self.total, self.types, self.texts = total, seen[0], texts
         self.discount = discount(seen[1], seen[2])
-        self.numbers: dict[bytes, int] = {}
-        self.pairs, self.arcs, self.backoff = np.zeros(0, np.int64), np.zeros(0), np.zeros(1)
+        self.unknown = self.discount * self.types / total / (self.types + 1) if total else 1.0
+        self.words, self.pairs = words, pairs
+        self.start = words * places  # the number of the state that texts begin in
+        if (self.start + 1) ** 2 > 2**64:
+            raise OverflowError("too many distinct words for bigrams of 64 bits")
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
+    def weights(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability of words in the root, given their corpus counts."""
         if not self.total:
             return np.zeros(len(counts))
-        left = self.discount * self.types / self.total
-        return np.log10(np.maximum(counts - self.discount, 0) / self.total + left / (self.types + 1))
-
-    def add_pairs(self, often: list[bytes], often_counts: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> None:
-        """Arcs of bigrams: code = number of the previous * (words + 1) + number of the word."""
-        self.numbers = {w: i for i, w in enumerate(often)}
-        width = len(often) + 1
-        lower = 10 ** self.root(often_counts.astype(np.float64))
-        history = np.concatenate([often_counts, [self.texts]]).astype(np.float64)
-        order = np.argsort(pairs)
-        pairs, counts = pairs[order], counts[order].astype(np.float64)
-        share = (counts - self.discount) / history[pairs // width]
-        keep = share >= GAIN * lower[pairs % width]
-        self.pairs, share = pairs[keep], share[keep]
-        before, word = self.pairs // width, self.pairs % width
-        # What a state's arcs leave is shared by the other words in proportion to the root.
-        left, rest = (1 - np.bincount(before, x, minlength=width) for x in (share, lower[word]))
-        self.backoff = np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))
-        self.arcs = np.log10(share)
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        get = self.numbers.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def traverse(self, ids: np.ndarray, first: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 weight of each token, read from left to right; ``first`` marks tokens that begin a text."""
-        width = len(self.numbers) + 1
-        numbers, root = self.numbered(words), self.root(counts)
-        now = numbers[ids]
-        state = np.empty(len(ids), np.int64)  # the state carried from the token before
-        state[1:] = now[:-1]
-        state[first] = width - 1
-        out = root[ids]
-        failed = state >= 0
-        if len(self.pairs):
-            key = np.where((state >= 0) & (now >= 0), state * width + now, -1)
-            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[place] == key
-            out[hit] = self.arcs[place[hit]]
-            failed &= ~hit
-        out[failed] += self.backoff[state[failed]]
+        return np.log10(np.maximum(counts - self.discount, 0) / self.total + self.unknown)
+
+    def backoff(self, history: np.ndarray, taken: np.ndarray, words: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """log10 backoff weight of states that occur ``history`` times, whose ``arcs`` arcs occur ``taken`` times and
+        lead to words that occur ``words`` times. What the arcs leave is shared by the other words in proportion to the root."""
+        out, some = np.zeros(len(arcs)), arcs > 0
+        h, t, w, n = (x[some].astype(np.float64) for x in (history, taken, words, arcs))
+        left = (h - t + self.discount * n) / h
+        rest = (self.total - w + self.discount * n) / self.total - n * self.unknown
+        out[some] = np.log10(left / np.maximum(rest, self.unknown))
         return out
 
 
-def pair_counts(batches: DataFrame, numbers: dict[bytes, int], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of bigrams of numbered words in texts that teach, seen ``least`` times or more."""
-    held = batches.sparkSession.sparkContext.broadcast(numbers)
-    width = len(numbers) + 1
+class Batch:
+    """A batch of texts with the numbers and corpus counts of its words."""
+
+    def __init__(self, root: Root, answers: dict, taught: list, sizes: list, ids: bytes, crcs: bytes):
+        self.root, self.answers = root, answers
+        self.ids, self.sizes = np.frombuffer(ids, np.uint32).astype(np.int64), np.array(sizes, np.int64)
+        self.taught = np.repeat(np.array(taught, bool), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        homes = np.frombuffer(crcs, np.uint32) % root.words
+        self.homes = [(k, at) for k, at in enumerate(_by_bucket(homes, root.words)) if len(at)]
+        self.counts, places = (self.of_words(0, c, np.int64) for c in (1, 2))
+        numbers = np.append(places * root.words + homes, root.start).astype(np.uint64)
+        # Distinct bigrams, in the order of buckets and of their codes.
+        width = len(homes) + 1
+        self.before = np.empty(len(self.ids), np.int64)
+        self.before[1:] = self.ids[:-1]
+        self.before[self.first] = width - 1
+        pairs, self.pair = np.unique(self.before * width + self.ids, return_inverse=True)
+        self.word = pairs % width
+        self.codes = numbers[pairs // width] * np.uint64(root.start + 1) + numbers[self.word]
+        to = ((self.codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(root.pairs)
+        self.order = np.lexsort((self.codes, to))
+        cuts = np.searchsorted(to[self.order], np.arange(root.pairs + 1, dtype=np.uint64))
+        self.slices = [(k, int(s), int(e)) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+
+    def of_words(self, role: int, column: int, kind: type) -> np.ndarray:
+        """What the buckets of words answered, by word."""
+        out = np.zeros(sum(len(at) for _, at in self.homes), kind)
+        for k, at in self.homes:
+            got = self.answers[role, k]
+            out[at] = grown(got[column], got[0], kind)
+        return out
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows:
-            for taught, sizes, ids, words in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                get = held.value.get
-                number = np.array([get(w, -1) for w in words.split(b"\n")], np.int64)
-                now = number[np.frombuffer(ids, np.uint32)]
-                sizes = np.array(sizes)
-                before = np.empty(len(now), np.int64)
-                before[1:] = now[:-1]
-                before[np.cumsum(sizes) - sizes] = width - 1
-                use = np.repeat(np.array(taught, bool), sizes) & (now >= 0) & (before >= 0)
-                codes, counts = np.unique(before[use] * width + now[use], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    found = batches.select("taught", "sizes", "ids", "words").mapInArrow(run, "code long, n long")
-    got = found.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()  # 1 / FLOOR rows at most
-    return got.column("code").to_numpy(), got.column("n").to_numpy()
+    def asked(self) -> list[tuple]:
+        """(bucket, n, codes, counts, counts of the bigrams' words) of the distinct bigrams."""
+        n = np.bincount(self.pair[self.taught], minlength=len(self.codes))
+        out = []
+        for k, s, e in self.slices:
+            at = self.order[s:e]
+            out.append((k, e - s, *map(shrunk, (np.diff(self.codes[at], prepend=np.uint64(0)), n[at], self.counts[self.word[at]]))))
+        return out
+
+    def traversed(self, start: float) -> np.ndarray:
+        """log10 weight of each token, read from left to right; ``start``: backoff weight of the start."""
+        n = np.zeros(len(self.codes), np.int64)
+        for k, s, e in self.slices:
+            got = self.answers[1, k]
+            n[self.order[s:e]] = grown(got[1], got[0])
+        n = n[self.pair]
+        history = np.append(self.counts, self.root.texts)[self.before]
+        failed = self.root.weights(self.counts)[self.ids] + np.append(self.of_words(2, 1, np.float64), start)[self.before]
+        return np.where(n >= LEAST, np.log10(np.maximum(n - self.root.discount, 1e-9) / np.maximum(history, 1)), failed)
+
+
+def by_batch(batches: DataFrame, n: int, answers: list[DataFrame]) -> DataFrame:
+    """Texts of each batch after the answers to it, as (batch, role, bucket, n, a, b, keys, taught, sizes, ids, crcs)."""
+    nothing = lambda *names: [F.lit(None).alias(c) for c in names]
+    rows = batches.select("batch", F.lit(9).alias("role"), F.lit(-1).alias("bucket"), F.lit(0).alias("n"), *nothing("a", "b"), "keys", "taught", "sizes", "ids", "crcs")
+    for x in answers:
+        rows = rows.unionAll(x.select("batch", "role", "bucket", "n", "a", "b", *nothing("keys", "taught", "sizes", "ids", "crcs")))
+    return rows.repartition(n, "batch").sortWithinPartitions("batch", "role", "bucket")
+
+
+def met(rows: Iterator[pa.RecordBatch], root: Root) -> Iterator[tuple[int, list, list, Batch]]:
+    """(batch, keys, taught, texts) of ``by_batch`` rows."""
+    for batch, held in of_each(rows):
+        answers = {(role, bucket): (n, a, b) for role, bucket, n, a, b, *_ in held if role != 9}
+        for role, *_, keys, taught, sizes, ids, crcs in held:
+            if role == 9:
+                yield batch, keys, taught, Batch(root, answers, taught, sizes, ids, crcs)
+
+
+def pair_counts(texts: DataFrame, root: Root) -> DataFrame:
+    """Answers (ANSWER) of roles 1, 4 and 5 from the buckets of bigrams."""
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, held in met(rows, root):
+            bucket, n, *data = zip(*held.asked(), strict=True)
+            arrays = [pa.array(bucket, pa.int32()), pa.array([batch] * len(n), pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in data)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "batch", "n", "codes", "counts", "words"])
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, asked in of_each(rows):
+            codes = np.concatenate([np.cumsum(grown(c, n, np.uint64), dtype=np.uint64) for _, n, c, _, _ in asked])
+            counts, words = (np.concatenate([grown(x[k], x[1]) for x in asked]) for k in (3, 4))
+            codes, first, place = np.unique(codes, return_index=True, return_inverse=True)
+            totals = np.zeros(len(codes), np.int64)
+            np.add.at(totals, place, counts)
+            at = 0
+            for batch, n, *_ in asked:
+                got = totals[place[at : at + n]]
+                yield answer_row(1, batch, bucket, n, [np.where(got >= LEAST, got, 0)])
+                at += n
+            arcs = totals >= LEAST
+            states, place = np.unique((codes[arcs] // np.uint64(root.start + 1)).astype(np.int64), return_inverse=True)
+            sums = [np.zeros(len(states), np.int64) for _ in range(3)]
+            for to, x in zip(sums, (totals[arcs], words[first][arcs], np.ones(int(arcs.sum()), np.int64)), strict=True):
+                np.add.at(to, place, x)
+            if len(states) and states[-1] == root.start:
+                yield answer_row(5, None, -1, 0, sums=[int(x[-1]) for x in sums])
+                states, sums = states[:-1], [x[:-1] for x in sums]
+            for k, chosen in enumerate(_by_bucket(states % root.words, root.words)):
+                if len(chosen):
+                    yield answer_row(4, None, k, len(chosen), [states[chosen] // root.words, *(x[chosen] for x in sums)])
+
+    sent = texts.mapInArrow(ask, "bucket int, batch long, n int, codes binary, counts binary, words binary")
+    sent = sent.repartition(root.pairs, "bucket").sortWithinPartitions("bucket", "batch")
+    return materialize(sent.mapInArrow(answer, ANSWER), "pairs")
+
+
+def backoffs(counts: DataFrame, pairs: DataFrame, root: Root) -> DataFrame:
+    """Answers (ANSWER) of role 2: backoff weights, in the order of a batch's numbers."""
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in of_each(rows):
+            sums = np.zeros((3, root.start // root.words), np.int64)
+            for role, _, n, at, *data in held:
+                if role == 4:
+                    sums[:, grown(at, n)] += [grown(x, n) for x in data]
+            for role, batch, n, history, at, *_ in held:
+                if role == 0:
+                    yield answer_row(2, batch, bucket, n, [root.backoff(grown(history, n), *sums[:, grown(at, n)])])
+
+    columns = ["bucket", "role", "batch", "n", "a", "b", "c", "d"]
+    both = counts.filter("role = 0").unionAll(pairs.filter("role = 4")).select(*columns)
+    return both.repartition(root.words, "bucket").sortWithinPartitions("bucket", "role", "batch").mapInArrow(answer, ANSWER)
 
 
 def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, taught, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows that teach."""
-    spark = docs.sparkSession
     batches = packed(docs, teaches, key, text)
-    size = batches.agg(F.sum("n_words").alias("words"), F.sum("n_taught").alias("total"), F.sum(F.size(F.filter("taught", lambda t: t))).alias("texts"), F.count(F.lit(1)).alias("n")).first()
-    total, texts = size.total or 0, size.texts or 0
+    tokens_in = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, n: x + n)
+    size = batches.agg(
+        F.sum("n_words").alias("words"), F.sum("n_taught").alias("total"), F.sum(F.size(F.filter("taught", lambda t: t))).alias("texts"),
+        F.sum(tokens_in).alias("tokens"), F.count(F.lit(1)).alias("n"),
+    ).first()
     buckets = max(12, math.ceil((size.words or 0) / BUCKET))
     counts = exchanged(batches, buckets)
-    seen = counts.filter("kind = 1").agg(*[F.sum(F.col("codes")[i]) for i in range(3)]).first()
-    seen = tuple(int(x or 0) for x in seen)
-    least = max(2, math.ceil(FLOOR * total))
-
-    model = Model(total, seen, texts)
-
-    often = counts.filter("kind = 2").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").toArrow()  # 1 / FLOOR rows at most
-    order = np.argsort(-often.column("counts").to_numpy(), kind="stable") if often.num_rows else []
-    words = often.column("words").to_pylist()
-    words, word_counts = [words[i] for i in order], often.column("counts").to_numpy()[order] if len(order) else np.zeros(0)
-    pairs, pair_n = pair_counts(batches, {w: i for i, w in enumerate(words)}, least) if words else (np.zeros(0, np.int64),) * 2
-    model.add_pairs(words, word_counts, pairs, pair_n)
-    held = spark.sparkContext.broadcast(model)
+    seen = counts.filter("role = 3").agg(*[F.sum(f"s{i}") for i in range(3)], F.max("n")).first()
+    *seen, places = (int(x or 0) for x in seen)
+    root = Root(size.total or 0, tuple(seen), size.texts or 0, buckets, places, max(12, math.ceil((size.tokens or 0) / PAIRS)))
+    n, words = max(1, size.n), counts.filter("role = 0")
+    pairs = pair_counts(by_batch(batches, n, [words]), root)
+    taken = pairs.filter("role = 5").agg(*[F.sum(f"s{i}") for i in range(3)]).first()
+    start = float(root.backoff(np.array([root.texts]), *(np.array([x or 0]) for x in taken))[0])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, answers = None, {}
-        for (b, _), part in runs(rows, 2):
-            if b != batch:
-                batch, answers = b, {}
-            for bucket, data, keys, taught, sizes, ids, spelled in zip(*(part.column(i).to_pylist() for i in range(2, 9)), strict=True):
-                if keys is None:
-                    answers[bucket] = np.frombuffer(data, np.uint64)
-                    continue
-                m, local = held.value, spelled.split(b"\n")
-                c = np.zeros(len(local), np.float64)
-                for k, chosen in enumerate(_by_bucket(_buckets(local, buckets), buckets)):
-                    if len(chosen):
-                        c[chosen] = answers[k]
-                flat, n = np.frombuffer(ids, np.uint32), np.array(sizes, np.int64)
-                first = np.cumsum(n) - n
-                base = np.log10((c + 1) / (m.total + m.types + 1))
-                out = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[flat], base[flat], m.traverse(flat, first, local, c))]
-                arrays = [
-                    pa.array(keys, pa.int64()), pa.array(taught, pa.bool_()), pa.array(n), pa.array(out[0]),
-                    pa.array(np.full(len(n), m.total, np.int64)), pa.array(out[1]), pa.array(out[2]),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "taught", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    null = lambda kind: F.lit(None).cast(kind)
-    texts_side = batches.select("batch", F.lit(1).alias("role"), F.lit(-1).alias("bucket"), null("binary").alias("data"), "keys", "taught", "sizes", "ids", "words")
-    counts_side = counts.filter("kind = 0").select(
-        "batch", F.lit(0).alias("role"), "bucket", "data", null("array<long>").alias("keys"), null("array<boolean>").alias("taught"),
-        null("array<int>").alias("sizes"), null("binary").alias("ids"), null("binary").alias("words"),
-    )
-    both = counts_side.unionAll(texts_side).repartition(max(1, size.n), "batch").sortWithinPartitions("batch", "role", "bucket")
+        for _, keys, taught, held in met(rows, root):
+            known, base = (held.counts > 0).astype(np.int64), np.log10((held.counts + 1) / (root.total + root.types + 1))
+            out = [np.add.reduceat(x, held.first) for x in (known[held.ids], base[held.ids], held.traversed(start))]
+            arrays = [
+                pa.array(keys, pa.int64()), pa.array(taught, pa.bool_()), pa.array(held.sizes), pa.array(out[0]),
+                pa.array(np.full(len(held.sizes), root.total, np.int64)), pa.array(out[1]), pa.array(out[2]),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "taught", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    both = by_batch(batches, n, [words, pairs.filter("role = 1"), backoffs(words, pairs, root)])
     out = both.mapInArrow(run, "key long, taught boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

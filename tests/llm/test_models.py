@@ -204,6 +204,14 @@ def test_lm_edges(spark):
     assert lm.score_texts(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_arcs_grow_with_the_corpus(spark):
+    rows = [(1, "x " * 700_000), (2, "left right"), (3, "left right"), (4, "left right")]  # a bigram of 3e-6 of all tokens
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, F.col("doc_id") < 4).collect()}
+    left = 2 - lm.discount(0, 2)  # no word occurs once, two occur twice
+    assert got[4] == pytest.approx(math.log10(left / 3) + 2 * math.log10(left / 2))
+
+
 # Mixing
 
 
