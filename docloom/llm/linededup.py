@@ -1,21 +1,27 @@
-"""Line dedup by content-defined chunks.
-
-A text's lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk of two lines or more where
-it is divisible by DIVISOR. Boundaries depend on nearby lines only, so a passage that starts elsewhere in another text falls into the same
-chunks but for its edges. A chunk of two lines or more that occurs again anywhere in the corpus is removed everywhere
-but in the row with the smallest id, where its first occurrence stays.
-
-Chunks whose digest may repeat (told by a slot map of fixed size) are grouped by digest and bytes: the bytes decide, so
-a collision of digests removes nothing. Groups are pre-aggregated. The join back is by digest and bytes, but for the
-chunks that occur most, of which there are a bounded number: they are joined by broadcast of two digests and the length.
-
-Defined cases: null texts stay null and count as empty; chunks of white space only are never removed; of rows that share
-the smallest id all keep the chunk's first occurrence; null ids sort before others; a text of which everything is
-removed becomes empty; texts are never cut; extra columns are passed through; an empty table gives an empty result.
+"""Line dedup by content-defined passages.
+
+A passage is told by its own lines only, so one that starts elsewhere in another text is the same passage:
+- chunks: a text's lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk of two lines or
+  more where it is divisible by DIVISOR;
+- lines of over WORDS words;
+- windows: from each line that isn't blank the fewest lines on, and the fewest lines back, that have over WORDS words.
+Two texts that share a run of lines with over WORDS words share windows that cover all of the run but blank lines at its
+ends, wherever it starts. A passage that occurs again anywhere in the corpus is removed everywhere but in the row with
+the smallest id, where its first occurrence stays. So each line stays somewhere: nothing earlier has it where it is first.
+
+Passages whose digest may repeat (told by a slot map of fixed size) are grouped by the SHA-256 of their bytes. Groups are
+pre-aggregated. The join back is by this digest; the passages that occur most, of which there are a bounded number, are
+joined by broadcast.
+
+Defined cases: null texts stay null and count as empty; passages of white space only are never removed; of rows that share
+the smallest id all keep the passage's first occurrence; lines that repeat with a period of WORDS words or less are cut
+to the first period; null ids sort before others; a text of which everything is removed becomes empty; texts are never
+cut; extra columns are passed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +33,18 @@ from pyspark.sql import functions as F
 from docloom.llm.common import SLOTS, materialize, plain, repeated_slots, set_bits, text_of
 
 WINDOW, DIVISOR = 2, 3
-#: Chunks that are joined by broadcast, at most.
+#: Words that a passage of any lines is to exceed.
+WORDS = 50
+#: Passages that are joined by broadcast, at most.
 HOT = 10_000
 SLICE = 256
 _TURN = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _ALL = 2**64 - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk of two lines or more that isn't blank."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    if len(lines) < 2:
-        return []
-    out, start, last = [], 0, 0
+def _boundaries(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first line, end) of each chunk of two lines or more."""
+    start, last = 0, 0
     digest = xxhash.xxh3_64_intdigest
     for i, line in enumerate(lines):
         h = digest(line)
@@ -47,11 +52,38 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
         last = h
         if i > start and (rolled >> 32) % DIVISOR == 0 or i + 1 == len(lines):
             if i > start:
-                whole = b"\n".join(lines[start : i + 1])
-                if not whole.isspace() and whole:
-                    out.append((start, i + 1 - start, whole))
+                yield start, i + 1
             start = i + 1
-    return out
+
+
+def _windows(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first line, end) of each window and each line of over WORDS words."""
+    full = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]  # lines that aren't blank
+    low, total = 0, 0
+    for high, (i, n) in enumerate(full):
+        total += n
+        if n > WORDS:
+            yield i, i + 1
+        # Every start whose fewest lines end here; the last of them is the start of the fewest lines back.
+        while total - full[low][1] > WORDS:
+            yield full[low][0], i + 1
+            total -= full[low][1]
+            low += 1
+        if total > WORDS and low < high:
+            yield full[low][0], i + 1
+
+
+def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, lines, bytes) of each passage that isn't blank. Passages may overlap."""
+    whole = text.encode("utf-8", "surrogatepass")
+    lines = whole.split(b"\n")
+    at = [0]
+    for line in lines:
+        at.append(at[-1] + len(line) + 1)
+    for start, end in {**dict.fromkeys(_boundaries(lines)), **dict.fromkeys(_windows(lines))}:
+        passage = whole[at[start] : at[end] - 1]
+        if passage and not passage.isspace():
+            yield start, end - start, passage
 
 
 def _slot(digests: list[bytes]) -> np.ndarray:
@@ -59,7 +91,7 @@ def _slot(digests: list[bytes]) -> np.ndarray:
 
 
 def chunk_slots(docs: DataFrame, text: str) -> DataFrame:
-    """(slot) of every chunk's digest."""
+    """(slot) of every passage's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,11 +99,27 @@ def chunk_slots(docs: DataFrame, text: str) -> DataFrame:
                 found = [xxhash.xxh3_128_digest(c) for t in batch.column(0).slice(at, SLICE).to_pylist() for _, _, c in chunks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(_slot(found))], names=["slot"])
 
-    return docs.filter(F.col(text).contains("\n")).select(text_of(text).alias("text")).mapInArrow(run, "slot long")
+    return docs.select(text_of(text).alias("text")).mapInArrow(run, "slot long")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, h, ranges) with sorted ranges of lines joined where they overlap or touch."""
+    for batch in batches:
+        out = []
+        for ranges in batch.column(2).to_pylist():
+            one = []
+            for r in ranges:
+                if one and r["first"] <= one[-1]["first"] + one[-1]["n"]:
+                    one[-1]["n"] = max(one[-1]["n"], r["first"] + r["n"] - one[-1]["first"])
+                else:
+                    one.append(r)
+            out.append(one)
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["at", "h", "_gone"])
 
 
 def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated chunks removed from ``text``, and n_lines, n_removed_lines."""
+    """The rows of ``docs`` with repeated passages removed from ``text``, and n_lines, n_removed_lines."""
     given = docs.columns
     docs, (key, text) = plain(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_slots(chunk_slots(docs, text)))
@@ -82,37 +130,35 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
                 piece = batch.slice(at, SLICE)
                 found = []
                 for i, h, t in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                    seen = set()
-                    for first, n, c in chunks(t):
-                        found.append((i, h, first, n, c in seen, xxhash.xxh3_128_digest(c), c))
+                    passages, seen = list(chunks(t)), set()
+                    if not passages:
+                        continue
+                    keep = set_bits(shared.value, _slot([xxhash.xxh3_128_digest(c) for _, _, c in passages]))
+                    for k in np.flatnonzero(keep).tolist():
+                        first, n, c = passages[k]
+                        c = hashlib.sha256(c).digest()
+                        found.append((i, h, first, n, c in seen, c))
                         seen.add(c)
-                if not found:
-                    continue
-                ids, h, first, n, again, digests, whole = zip(*found, strict=True)
-                keep = pa.array(set_bits(shared.value, _slot(digests)))
-                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                kinds = [(ids, pa.int64()), (h, pa.int64()), (first, pa.int32()), (n, pa.int32()), (again, pa.bool_()), (d[:, 0], None), (d[:, 1], None), (whole, pa.binary())]
-                names = ["at", "h", "first", "n", "again", "d1", "d2", "chunk"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in kinds], names=names).filter(keep)
+                if found:
+                    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()
+                    names = ["at", "h", "first", "n", "again", "chunk"]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     at, h = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
-    rows = docs.filter(F.col(text).contains("\n")).select(at.alias("at"), h.alias("h"), text_of(text).alias("text"))
-    found = rows.mapInArrow(run, "at long, h long, first int, n int, again boolean, d1 long, d2 long, chunk binary")
+    rows = docs.select(at.alias("at"), h.alias("h"), text_of(text).alias("text"))
+    found = rows.mapInArrow(run, "at long, h long, first int, n int, again boolean, chunk binary")
     found = materialize(found, "chunks")
-    same = ["d1", "d2", "chunk"]
-    classes = found.groupBy(*same).agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    classes = found.groupBy("chunk").agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     classes = materialize(classes, "classes")
-    # At most HOT chunks have a HOT-th of the occurrences: these are joined by broadcast, as a few numbers each, so no
-    # task gets all rows of one of them. The others are joined by digest and bytes.
+    # At most HOT passages have a HOT-th of the occurrences: these are joined by broadcast, so no task gets all rows of
+    # one of them.
     often = F.col("times") >= max(2.0, found.count() / HOT)
-    known = classes.withColumns({"size": F.octet_length("chunk"), "more": F.xxhash64("chunk")})
-    hot = F.broadcast(known.filter(often).select("d1", "d2", "size", "more", F.col("owner").alias("hot_owner")))
-    marked = found.withColumns({"size": F.octet_length("chunk"), "more": F.xxhash64("chunk")}).join(hot, ["d1", "d2", "size", "more"], "left")
+    marked = found.join(F.broadcast(classes.filter(often).select("chunk", F.col("owner").alias("hot_owner"))), "chunk", "left")
     rows = marked.filter("hot_owner IS NOT NULL").select("at", "h", "first", "n", "again", F.col("hot_owner").alias("owner"))
-    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often), same)
+    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often), "chunk")
     gone = rows.unionAll(rest.select("at", "h", "first", "n", "again", "owner")).filter("again OR at != owner")
     gone = gone.select("at", "h", F.struct("first", "n").alias("r")).distinct()
-    gone = gone.groupBy("at", "h").agg(F.array_sort(F.collect_list("r")).alias("_gone"))
+    gone = gone.groupBy("at", "h").agg(F.array_sort(F.collect_list("r")).alias("_gone")).mapInArrow(merged, "at long, h long, _gone array<struct<first int, n int>>")
 
     names = docs.columns
     left = docs.select(*names, at.alias("_at"), h.alias("_h"))

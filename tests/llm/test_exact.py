@@ -208,6 +208,44 @@ def test_line_dedup_repeated_and_null_ids(spark):
     assert got == [(0, True), (1, False), (2, False), (2, False)]
 
 
+def repeated_runs(texts, words):
+    """Brute force: {id: lines in runs of over ``words`` words that a text of a smaller id has}, but blank ones."""
+    split, out = {i: t.split("\n") for i, t in texts.items()}, {i: set() for i in texts}
+    for b, y in split.items():
+        for x in (split[a] for a in split if a < b):
+            for s in range(len(x)):
+                for r in range(len(y)):
+                    n = 0
+                    while s + n < len(x) and r + n < len(y) and x[s + n] == y[r + n]:
+                        n += 1
+                    if sum(len(z.split()) for z in y[r : r + n]) > words:
+                        out[b] |= {k for k in range(r, r + n) if y[k].strip()}
+    return out
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"v{rng.random()}" for _ in range(n))
+    shared = [[line(rng.choice([0, 1, 4, 9, 20, 60])) for _ in range(rng.randint(1, 7))] for _ in range(14)] + [[line(51)], [line(26), "", line(25)], [line(25), line(25)]]
+    texts = {}
+    for i in range(40):
+        lines = []
+        for part in rng.sample(shared, 3):
+            cut = rng.randint(0, len(part) - 1) if rng.random() < 0.3 else 0  # some runs are shared in part
+            lines += [f"own {i} {rng.random()}" for _ in range(rng.randint(1, 3))] + part[cut:]
+        texts[i] = "\n".join([*lines, f"end {i}"])
+    texts |= {50: shared[-3][0], 51: shared[-3][0]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in linededup.without_repeated_chunks(docs.repartition(3)).collect()}
+    runs = repeated_runs(texts, 50)
+    assert sum(map(len, runs.values())) > 100
+    for i, t in texts.items():
+        lines = t.split("\n")
+        assert not {lines[k] for k in runs[i]} & set(got[i])
+        assert {x for x in lines if x.startswith(("own", "end"))} <= set(got[i])
+    assert {x for t in texts.values() for x in t.split("\n")} - {""} == {x for t in got.values() for x in t} - {""}
+
+
 def test_plain_and_materialize(spark):
     df = spark.createDataFrame([(1, 2)], "`a.b` int, c0 int")
     renamed, names = plain(df, "c0")
