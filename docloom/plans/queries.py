@@ -253,6 +253,13 @@ def keyword_bonus(spark, sf_dir):
     return rows.select("item_id", "doc_id", F.round(lexical.keyword_bonus("text", "t"), 6).alias("bonus"))
 
 
+@registered(f"SELECT * FROM (SELECT item_id, doc_id, round({BONUS.replace('qtext', 'b.text').replace('lower(text)', 'lower(d.text)')}, 6) AS bonus FROM benchmark b CROSS JOIN documents d) WHERE bonus > 0")
+def keyword_bonus_all(spark, sf_dir):
+    """Bonuses above 0 of all documents."""
+    rows = lexical.keyword_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return rows.select(F.col("query").alias("item_id"), F.col("chunk").alias("doc_id"), F.round("bonus", 6).alias("bonus"))
+
+
 @registered(f"WITH {TOP} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM best WHERE item_id = 3")
 def lexical_topk(spark, sf_dir):
     return _top(spark, sf_dir, 3)
