@@ -11,7 +11,8 @@ Files are opened by URI with pyarrow's file systems (local or shared mounts, HDF
 
 Defined cases: a null payload is empty; a null url is an empty target; of equal payloads of MIN_REVISIT bytes or more
 the one with the smallest id is the response, rows that share this id are all responses; a null id is never the response
-of others; no rows, no archives and no records; damaged archives raise. Ids are carried in the record ids.
+of others; no rows, no archives and no records; damaged archives raise, and so does reading another number of records
+than was written. Ids are carried in the record ids.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MAGIC = b"\x1f\x8b\x08"
 MIN_REVISIT = 100
 #: Bytes after which a new archive is begun, of a range, and of a read.
 ARCHIVE, RANGE, READ = 256 << 20, 8 << 20, 256 << 10
-#: Inflated bytes within which a WARC header ends, and members of a header.
+#: Bytes that are inflated at a time in search of a WARC header's end.
 HEADER = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -140,20 +141,26 @@ class _Reader:
 
 
 def _is_member(file: _Reader, at: int) -> bool:
-    """Whether a gzip member with a WARC record starts here: its header is inflated and parsed."""
-    z, block, pos = zlib.decompressobj(31), b"", at
+    """Whether a gzip member with a WARC record starts here: its header is inflated, however long, and parsed."""
+    z, block, pos = zlib.decompressobj(31), bytearray(), at
     try:
-        while len(block) < HEADER and not z.eof:
+        while not z.eof:
             data = file.read(pos, 4096)
             if not data:
                 break
             pos += len(data)
-            block += z.decompress(data, HEADER)
-            if _header(block):
-                return True
+            while data:
+                more = z.decompress(data, HEADER)
+                data = z.unconsumed_tail
+                seam = max(0, len(block) - 3)
+                block += more
+                if block.find(b"\r\n\r\n", seam) >= 0:
+                    return _header(bytes(block)) is not None
+                if not block.startswith(b"WARC/1."[: len(block)]):
+                    return False
     except zlib.error:
         return False
-    return _header(block) is not None
+    return False
 
 
 def _inflated(file: _Reader, at: int) -> tuple[bytes, int] | None:
@@ -254,7 +261,10 @@ def archived(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: s
     """Write a record for each page, read the archives back; one row per record."""
     folder = scratch_path(spark, "warc")
     files = write_archives(record_types(pages, key, url, payload), folder)
-    back = read_archives(ranges(files), with_payload=False)
+    back = materialize(read_archives(ranges(files), with_payload=False), "records")
+    written, read = files.agg(F.sum("records")).first()[0] or 0, back.count()
+    if read != written:
+        raise ValueError(f"{written} records were written, but {read} read back")
     return back.select(
         page_number("record_id").alias(key),
         "payload_bytes",

@@ -161,6 +161,24 @@ def test_archive_round_trip(spark):
     assert warc.archived(spark, pages.limit(0)).count() == 0
 
 
+def test_headers_of_any_length(spark):
+    rng = random.Random(3)
+    urls = ["http://h/" + rng.randbytes(n).hex() for n in (10, 50_000, 400_000, 10, 100_000)] + ["u" * 3_000_000]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archived(spark, pages.repartition(1)).collect()) == list(range(len(urls)))
+    data = [warc.member(warc.record_bytes(i, u, b"x", "d", None, "t")) for i, u in enumerate(urls)]
+    for one in data:
+        assert warc._is_member(warc._Reader(io.BytesIO(one), len(one)), 0)
+
+
+def test_records_that_are_not_read_raise(spark, monkeypatch):
+    ranges = warc.ranges
+    monkeypatch.setattr(warc, "ranges", lambda files: ranges(files).limit(0))
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="records were written"):
+        warc.archived(spark, pages).collect()
+
+
 # Line dedup
 
 
