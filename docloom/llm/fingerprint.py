@@ -190,6 +190,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "near_edited double, near_next double, canon binary, edited_canon binary",
     )
     rows = materialize(rows, "fingerprints")
-    # Both columns together: an edited text equal to a document's canonical text shares its bucket.
+    # Both columns together: an edited text equal to a document's canonical text shares its bucket. Bytes are kept where
+    # documents' digests repeat: edited texts' digests that only one document or other edited texts have aren't compared.
     rows = named(rows, [("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")])
     return rows.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
