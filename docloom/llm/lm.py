@@ -1,31 +1,35 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are words (runs without white space, A-Z lower-cased) and one end per text. Smoothed n-grams become states with
-failure arcs: the state after a token is that token, if arcs leave it. An arc (previous, word) weighs the discounted
-relative frequency of the bigram; without one the failure arc's backoff weight is added and the word is scored in the
-root: its discounted count over all training tokens, plus the discounted mass spread evenly over the known words and the
-unknown one. The events are those of the base score, all words not seen in training being one, and the weights of each
-state's words sum to one. Every bigram of the training texts seen LEAST times or more is an arc, so arcs grow with the corpus.
-
-All counts are exact and exchanged with bounded tasks; nothing of the model is held by the driver or broadcast:
-1. Tasks pack texts into batches of about BATCH tokens and send each batch's distinct words to the buckets of the words'
-   hashes. They get corpus counts back, and places in the bucket, which number all words.
-2. Each batch sends its distinct bigrams, as two numbers, to the buckets of their hashes, and gets corpus counts back.
-   The buckets add up, for each previous word, what its arcs take.
-3. These sums go to the previous word's bucket, which sends each batch the backoff weights of its words.
-A frequent word or bigram is one entry of each batch, a frequent state one sum of each bucket of bigrams.
+Tokens are words (runs without white space, A-Z lower-cased) and one end per text. Smoothed n-grams of up to ``order``
+tokens become states with failure arcs. A state is a history of up to order - 1 tokens, the start of the text counting as
+one; an arc (history, token) weighs the discounted relative frequency of the n-gram and leads to the longest state that
+ends the n-gram. A token without an arc adds the state's backoff weight and is looked up in the state without its first
+token, down to the root: the token's discounted count over all training tokens, plus the discounted mass spread evenly over
+the known words and the unknown one. A text is read once from left to right: the state's depth is carried from token to
+token, and the weights of the arc and of the failure arcs before it are added up. The events are those of the base score,
+all words not seen in training being one, and the weights of each state's words sum to one. Every n-gram of the training
+texts seen ``least`` times or more is an arc, whatever the corpus: there is no other limit, so arcs grow with the corpus.
+
+All counts cover all training texts and are exchanged with bounded tasks; nothing of the model is held by the driver or
+broadcast. N-grams are told by 64-bit hashes, so that among n of them about n**2 / 2**65 pairs are taken for one (1e9
+n-grams: 0.03 pairs).
+1. Tasks pack texts into batches of about BATCH tokens. Each batch sends its distinct words and bigrams to the buckets of
+   their hashes, and gets corpus counts back. Of the batches that ask for an n-gram, the first is told that it is.
+2. For each order above two, a batch sends the n-grams whose first and last order - 1 tokens are arcs (no other can be
+   one), each with its history and with the count of its last tokens. The buckets answer with counts, and add up for each
+   history what its arcs take; a bigram's history gets this from the first batches.
+3. Batches get these sums from the buckets of their histories, and with them the backoff weights.
+A frequent n-gram is one entry of each batch, a frequent history one sum of each bucket or batch. Messages number batches
+times buckets.
 
 Defined cases: null and empty texts are one end; texts are never cut; null ids are scored and, as the caller's condition
 is null for them, not learnt from; repeated rows count as often as they occur; with no training texts all counts are 0
-and the unknown word has probability 1; an empty table gives an empty result; other columns are ignored. Bigrams are
-numbered in 64 bits: more than 2**32 distinct words raise.
+and the unknown word has probability 1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,16 +37,22 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, runs, text_of
+from docloom.llm.minhash import mixed
 
-#: Tokens of a batch, distinct words of a bucket and bigrams of a bucket as goals.
-BATCH, BUCKET, PAIRS = 1_500_000, 400_000, 2_000_000
+#: Tokens of a batch; words and tokens of a bucket as goals; tasks over batches at most (a task takes one by one).
+BATCH, BUCKET, PAIRS, TASKS = 1_500_000, 400_000, 2_000_000, 100_000
 #: Occurrences of an arc. Its share of the tokens (FLOOR) and its gain over the root (GAIN) aren't limited.
 LEAST, FLOOR, GAIN = 2, 0.0, 0.0
+#: The code of the start of a text.
+START = np.uint64(0x5EED0FA57A127000)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -50,34 +60,45 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def shrunk(x: np.ndarray) -> bytes:
+    """Compressed bytes of integers, those of equal weight together."""
+    return pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    """The ``n`` integers that were shrunk."""
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
+
+
 def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
-    """Batches of texts: (batch, keys, taught, sizes, ids, words, crcs, counts, n_words, n_taught).
+    """Batches of texts: (batch, keys, taught, sizes, ids, hashes, n_words, n_tokens, n_taught).
 
-    ids: uint32 numbers of all tokens, ends included, in ``words`` (joined by line feeds; the first, empty one is the
-    end); crcs: uint32 hash of each word; counts: uint32 occurrences of each word in texts that teach.
+    ids: numbers of all tokens, ends included, in ``hashes``, the words' hashes, of which the first is the end's.
+    Batches are numbered from 0 without gaps.
     """
     limit = BATCH
+    names = ["part", "seq", "keys", "taught", "sizes", "ids", "hashes", "n_words", "n_tokens", "n_taught"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, taught, sizes, ids, vocab = [], [], [], array("I"), defaultdict(count().__next__)
-        names = ["batch", "keys", "taught", "sizes", "ids", "words", "crcs", "counts", "n_words", "n_taught"]
+        part, seq = TaskContext.get().partitionId(), count()
 
         def out():
             flat = np.frombuffer(ids, np.uint32)
-            mask = np.repeat(np.array(taught, bool), np.array(sizes))
-            counts = np.bincount(flat[mask], minlength=len(vocab)).astype(np.uint32)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
             row = [
-                pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
-                pa.array([taught], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()),
-                pa.array([b"\n".join(vocab)], pa.binary()), pa.array([np.fromiter(map(zlib.crc32, vocab), np.uint32, len(vocab)).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-                pa.array([len(vocab)], pa.int64()), pa.array([int(mask.sum())], pa.int64()),
+                pa.array([part], pa.int32()), pa.array([next(seq)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([taught], pa.list_(pa.bool_())),
+                pa.array([sizes], pa.list_(pa.int32())), pa.array([shrunk(flat)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                pa.array([len(vocab)], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([sum(n for n, t in zip(sizes, taught, strict=True) if t)], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(row, names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, t, s in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                piece = batch.slice(at, 256)
+                for k, t, s in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
                     if not ids:
                         vocab[b""]
                     before = len(ids)
@@ -93,81 +114,62 @@ def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(teaches, F.lit(False)).alias("t"), text_of(text).alias("s"))
-    schema = "batch long, keys array<long>, taught array<boolean>, sizes array<int>, ids binary, words binary, crcs binary, counts binary, n_words long, n_taught long"
-    return materialize(rows.mapInArrow(run, schema), "batches")
-
-
-def _by_bucket(buckets: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(buckets, kind="stable")
-    return np.split(order, np.searchsorted(buckets[order], np.arange(1, n)))
-
-
-def shrunk(x: np.ndarray) -> bytes:
-    """Compressed bytes of 64-bit numbers, those of equal weight together."""
-    return pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def grown(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
-    """The ``n`` numbers that were shrunk."""
-    raw = np.frombuffer(pa.decompress(data, n * 8, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(kind)
-
-
-#: Rows that buckets answer with: role 0 words (counts, places), 1 bigrams (counts), 2 backoff weights; of no batch:
-#: 3 sums of a bucket of words (words, seen once, twice), 4 sums of states (places, counts, words' counts, arcs), 5 those
-#: of the start.
-ANSWER = "role int, batch long, bucket int, n int, a binary, b binary, c binary, d binary, s0 long, s1 long, s2 long"
-
-
-def answer_row(role: int, batch: int | None, bucket: int, n: int, arrays: Iterable[np.ndarray] = (), sums: list[int] | None = None) -> pa.RecordBatch:
-    data = [shrunk(x) for x in arrays]
-    row = [role, batch, bucket, n, *data, *[None] * (4 - len(data)), *(sums or [None] * 3)]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["role", "batch", "bucket", "n", "a", "b", "c", "d", "s0", "s1", "s2"])
+    schema = "part int, seq long, keys array<long>, taught array<boolean>, sizes array<int>, ids binary, hashes binary, n_words long, n_tokens long, n_taught long"
+    batches = materialize(rows.mapInArrow(run, schema), "batches")
+    parts = batches.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each split of the input
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
+    batches = batches.join(F.broadcast(materialize(parts, "parts")), "part").withColumn("batch", F.col("first") + F.col("seq"))
+    return batches.select("batch", *names[2:])
+
+
+#: What batches and buckets tell each other. role k: n-grams of k tokens, -k: histories of k tokens; batch -1: sums for a
+#: history's bucket; -2, -3, -4: numbers (n) of the words there are, seen once, seen twice.
+MESSAGE = "bucket int, role int, batch long, n int, a binary, b binary, c binary, d binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+_NAMES = ["bucket", "role", "batch", "n", "a", "b", "c", "d"]
+
+
+def message(bucket: int, role: int, batch: int, n: int, arrays: Iterable[np.ndarray | bytes | None]) -> tuple:
+    data = [shrunk(x) if isinstance(x, np.ndarray) else x for x in arrays]
+    return (bucket, role, batch, n, *data, *[None] * (4 - len(data)))
+
+
+def messages(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Record batches of messages, some at a time."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row[4:] if x)
+        if size > 1 << 22 or len(held) >= 1024:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), _KINDS, strict=True)], names=_NAMES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def of_each(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(first column, tuples of the others) of each run of rows."""
+def of_each(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(first columns, tuples of the others) of each run of rows."""
     now, held = None, []
-    for (b,), part in runs(rows, 1):
-        if b != now:
+    for key, part in runs(rows, keys):
+        if key != now:
             if held:
                 yield now, held
-            now, held = b, []
-        held += zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)
+            now, held = key, []
+        held += zip(*(part.column(i).to_pylist() for i in range(keys, part.num_columns)), strict=True)
     if held:
         yield now, held
 
 
-def exchanged(batches: DataFrame, buckets: int) -> DataFrame:
-    """Answers (ANSWER) of roles 0 and 3 from the buckets of words, in the order of a batch's numbers."""
+def sent(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted codes; buckets are ranges of codes."""
+    cuts = np.searchsorted((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield k, slice(int(cuts[k]), int(cuts[k + 1]))
 
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows:
-            for batch, words, crcs, counts in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                words, counts = words.split(b"\n"), np.frombuffer(counts, np.uint32)
-                sent = [], [], [], []
-                for bucket, chosen in enumerate(_by_bucket(np.frombuffer(crcs, np.uint32) % buckets, buckets)):
-                    if len(chosen):
-                        for to, x in zip(sent, (bucket, batch, b"\n".join([words[i] for i in chosen.tolist()]), counts[chosen].tobytes()), strict=True):
-                            to.append(x)
-                kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(sent, kinds, strict=True)], names=["bucket", "batch", "words", "counts"])
-
-    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, asked in of_each(rows):
-            places: dict[bytes, int] = defaultdict(count().__next__)
-            spelled = [np.array([places[w] for w in words.split(b"\n")], np.int64) for _, words, _ in asked]
-            totals = np.zeros(len(places), np.int64)
-            for at, (_, _, counts) in zip(spelled, asked, strict=True):
-                totals[at] += np.frombuffer(counts, np.uint32)
-            for at, (batch, _, _) in zip(spelled, asked, strict=True):
-                yield answer_row(0, batch, bucket, len(at), [totals[at], at])
-            yield answer_row(3, None, bucket, len(places), sums=[int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())])
-
-    sent = batches.select("batch", "words", "crcs", "counts").mapInArrow(ask, "bucket int, batch long, words binary, counts binary")
-    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
-    return materialize(sent.mapInArrow(answer, ANSWER), "counts")
+
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Differences of sorted codes, which ``np.cumsum`` undoes."""
+    return np.diff(codes, prepend=np.uint64(0))
 
 
 def discount(n1: float, n2: float) -> float:
@@ -176,16 +178,12 @@ def discount(n1: float, n2: float) -> float:
 
 
 class Root:
-    """Sizes of the training texts; ``words``: buckets of words, ``places``: of a bucket at most, ``pairs``: buckets of bigrams."""
+    """Sizes of the training texts, and the weights of words that no state has an arc for."""
 
-    def __init__(self, total: int, seen: tuple[int, int, int], texts: int, words: int, places: int, pairs: int):
-        self.total, self.types, self.texts = total, seen[0], texts
-        self.discount = discount(seen[1], seen[2])
-        self.unknown = self.discount * self.types / total / (self.types + 1) if total else 1.0
-        self.words, self.pairs = words, pairs
-        self.start = words * places  # the number of the state that texts begin in
-        if (self.start + 1) ** 2 > 2**64:
-            raise OverflowError("too many distinct words for bigrams of 64 bits")
+    def __init__(self, total: int, types: int, once: int, twice: int):
+        self.total, self.types = total, types
+        self.discount = discount(once, twice)
+        self.unknown = self.discount * types / total / (types + 1) if total else 1.0
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability of words in the root, given their corpus counts."""
@@ -193,173 +191,270 @@ class Root:
             return np.zeros(len(counts))
         return np.log10(np.maximum(counts - self.discount, 0) / self.total + self.unknown)
 
-    def backoff(self, history: np.ndarray, taken: np.ndarray, words: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        """log10 backoff weight of states that occur ``history`` times, whose ``arcs`` arcs occur ``taken`` times and
-        lead to words that occur ``words`` times. What the arcs leave is shared by the other words in proportion to the root."""
+    def arcs(self, counts: np.ndarray, histories: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(counts - self.discount, 1e-9) / np.maximum(histories, 1))
+
+    def backoff(self, history: np.ndarray, shorter: np.ndarray | None, arcs: np.ndarray, taken: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """log10 backoff weight of states that occur ``history`` times and without their first token ``shorter`` times
+        (None: that is the root), whose ``arcs`` arcs occur ``taken`` times and without their first token ``last`` times.
+        What the arcs leave is shared by the other words in proportion to their weights in the shorter state."""
         out, some = np.zeros(len(arcs)), arcs > 0
-        h, t, w, n = (x[some].astype(np.float64) for x in (history, taken, words, arcs))
+        h, n, t, w = (x[some].astype(np.float64) for x in (history, arcs, taken, last))
         left = (h - t + self.discount * n) / h
-        rest = (self.total - w + self.discount * n) / self.total - n * self.unknown
-        out[some] = np.log10(left / np.maximum(rest, self.unknown))
+        whole = self.total if shorter is None else shorter[some].astype(np.float64)
+        rest = (whole - w + self.discount * n) / whole - (n * self.unknown if shorter is None else 0.0)
+        out[some] = np.log10(left / np.maximum(rest, self.unknown if shorter is None else 1e-12))
         return out
 
 
 class Batch:
-    """A batch of texts with the numbers and corpus counts of its words."""
+    """Texts of a batch with the counts that are known of their n-grams.
 
-    def __init__(self, root: Root, answers: dict, taught: list, sizes: list, ids: bytes, crcs: bytes):
-        self.root, self.answers = root, answers
-        self.ids, self.sizes = np.frombuffer(ids, np.uint32).astype(np.int64), np.array(sizes, np.int64)
-        self.taught = np.repeat(np.array(taught, bool), self.sizes)
+    ``codes[k]``: distinct n-grams of k tokens, sorted; ``at[k]``: each token's place among them as their last token, -1
+    where there is none; ``counts[k]``: their corpus counts.
+    """
+
+    def __init__(self, taught: list, sizes: list, ids: bytes, hashes: bytes):
+        self.sizes = np.array(sizes, np.int64)
+        n = int(self.sizes.sum())
         self.first = np.cumsum(self.sizes) - self.sizes
-        homes = np.frombuffer(crcs, np.uint32) % root.words
-        self.homes = [(k, at) for k, at in enumerate(_by_bucket(homes, root.words)) if len(at)]
-        self.counts, places = (self.of_words(0, c, np.int64) for c in (1, 2))
-        numbers = np.append(places * root.words + homes, root.start).astype(np.uint64)
-        # Distinct bigrams, in the order of buckets and of their codes.
-        width = len(homes) + 1
-        self.before = np.empty(len(self.ids), np.int64)
-        self.before[1:] = self.ids[:-1]
-        self.before[self.first] = width - 1
-        pairs, self.pair = np.unique(self.before * width + self.ids, return_inverse=True)
-        self.word = pairs % width
-        self.codes = numbers[pairs // width] * np.uint64(root.start + 1) + numbers[self.word]
-        to = ((self.codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(root.pairs)
-        self.order = np.lexsort((self.codes, to))
-        cuts = np.searchsorted(to[self.order], np.arange(root.pairs + 1, dtype=np.uint64))
-        self.slices = [(k, int(s), int(e)) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
-
-    def of_words(self, role: int, column: int, kind: type) -> np.ndarray:
-        """What the buckets of words answered, by word."""
-        out = np.zeros(sum(len(at) for _, at in self.homes), kind)
-        for k, at in self.homes:
-            got = self.answers[role, k]
-            out[at] = grown(got[column], got[0], kind)
+        self.place = np.arange(n) - np.repeat(self.first, self.sizes)
+        self.taught = np.repeat(np.array(taught, bool), self.sizes)
+        self.texts = sum(taught)
+        self.code = np.frombuffer(hashes, np.uint64)[grown(ids, n, np.uint32)]
+        codes, at = np.unique(np.append(self.code, START), return_inverse=True)
+        self.start = int(at[-1])
+        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: at[:-1]}, {}, None
+        self.extend(2, np.ones(n, bool))
+
+    def before(self, k: int) -> np.ndarray:
+        """The place of the k tokens before each token, -1 where there are none."""
+        out = np.empty_like(self.at[k])
+        out[1:] = self.at[k][:-1]
+        out[self.first] = self.start if k == 1 else -1
+        return out
+
+    def extend(self, k: int, some: np.ndarray) -> None:
+        """Number the n-grams of k tokens that end in ``some`` tokens and whose first k - 1 are numbered."""
+        history = self.before(k - 1)
+        some = some & (history >= 0)
+        code = mixed(self.codes[k - 1][history[some]] * _TURN + self.code[some] + np.uint64(k))
+        self.codes[k], place = np.unique(code, return_inverse=True)
+        self.at[k] = np.full(len(some), -1)
+        self.at[k][some] = place
+
+    def own(self, k: int) -> np.ndarray:
+        """Occurrences of the n-grams of k tokens in the batch's training texts."""
+        out = np.bincount(self.at[k][self.taught & (self.at[k] >= 0)], minlength=len(self.codes[k]))
+        if k == 1:
+            out[self.start] = self.texts
+        return out
+
+    def learn(self, k: int, answers: dict, least: int) -> None:
+        """Take the counts of ``answers``: {role: messages in the order of buckets}."""
+        if k > 2:
+            self.extend(k, self.seen(k - 1, self.before(k - 1), least) & self.seen(k - 1, self.at[k - 1], least))
+        got = answers.get(k, [])
+        self.counts[k] = np.concatenate([np.zeros(0, np.int64), *(grown(a, n) for n, a, *_ in got)])
+        if k == 2:
+            self.flags = np.concatenate([np.zeros(0, np.uint8), *(grown(b, n, np.uint8) for n, _, b, *_ in got)]) > 0
+
+    def seen(self, k: int, places: np.ndarray, least: int) -> np.ndarray:
+        """Whether the n-grams at ``places`` occur ``least`` times in training."""
+        if not len(self.counts[k]):
+            return np.zeros(len(places), bool)
+        return (places >= 0) & (self.counts[k][places] >= least)
+
+    def histories(self, k: int, least: int) -> np.ndarray:
+        """The places of the states of k tokens whose backoff weights the batch may need: each has training texts."""
+        places = np.unique(self.before(k))
+        places = places[places >= 0]
+        return places[self.counts[k][places] >= (least if k > 1 else 1)]
+
+    def arcs_of_words(self, least: int) -> tuple[np.ndarray, ...]:
+        """By word: numbers of arcs, their occurrences, and those of their words, for arcs that the batch was first to ask for."""
+        history = np.zeros(len(self.codes[2]), np.int64)
+        word = np.zeros(len(self.codes[2]), np.int64)
+        history[self.at[2]], word[self.at[2]] = self.before(1), self.at[1]
+        arcs = (self.counts[2] >= least) & self.flags
+        sums = [np.zeros(len(self.codes[1]), np.int64) for _ in range(3)]
+        for to, x in zip(sums, (np.ones(int(arcs.sum()), np.int64), self.counts[2][arcs], self.counts[1][word[arcs]]), strict=True):
+            np.add.at(to, history[arcs], x)
+        return tuple(sums)
+
+    def traversed(self, root: Root, order: int, least: int, answers: dict) -> np.ndarray:
+        """log10 weight of each token, read from left to right."""
+        depth = np.zeros(len(self.code), np.int64)  # tokens of the state that has the arc
+        out = root.weights(self.counts[1])[self.at[1]]
+        failures = []
+        for k in range(1, order):
+            before = self.before(k)
+            arc = self.seen(k + 1, self.at[k + 1], least)
+            out[arc] = root.arcs(self.counts[k + 1][self.at[k + 1][arc]], self.counts[k][before[arc]])
+            depth[arc] = k
+            places = self.histories(k, least)
+            got = answers.get(-k, [])
+            sums = [np.concatenate([np.zeros(0, np.int64), *(grown(x[j], x[0]) for x in got)]) for j in (1, 2, 3)]
+            weights = np.zeros(len(self.codes[k]))
+            if len(places):
+                weights[places] = root.backoff(self.counts[k][places], None if k == 1 else self.shorter(k)[places], *sums)
+            failures.append((before, weights))
+        # The state that a token finds is the longest that ends in the arc before it.
+        found = np.empty_like(depth)
+        found[1:] = np.minimum(depth[:-1] + 1, order - 1)
+        found[self.first] = min(1, order - 1)
+        for k, (before, weights) in enumerate(failures, 1):
+            failed = (found >= k) & (depth < k)
+            out[failed] += weights[before[failed]]
         return out
 
-    def asked(self) -> list[tuple]:
-        """(bucket, n, codes, counts, counts of the bigrams' words) of the distinct bigrams."""
-        n = np.bincount(self.pair[self.taught], minlength=len(self.codes))
-        out = []
-        for k, s, e in self.slices:
-            at = self.order[s:e]
-            out.append((k, e - s, *map(shrunk, (np.diff(self.codes[at], prepend=np.uint64(0)), n[at], self.counts[self.word[at]]))))
+    def shorter(self, k: int) -> np.ndarray:
+        """Corpus counts of the n-grams of k tokens without their first one."""
+        out = np.zeros(len(self.codes[k]), np.int64)
+        some = self.at[k] >= 0
+        out[self.at[k][some]] = self.counts[k - 1][self.at[k - 1][some]]
         return out
 
-    def traversed(self, start: float) -> np.ndarray:
-        """log10 weight of each token, read from left to right; ``start``: backoff weight of the start."""
-        n = np.zeros(len(self.codes), np.int64)
-        for k, s, e in self.slices:
-            got = self.answers[1, k]
-            n[self.order[s:e]] = grown(got[1], got[0])
-        n = n[self.pair]
-        history = np.append(self.counts, self.root.texts)[self.before]
-        failed = self.root.weights(self.counts)[self.ids] + np.append(self.of_words(2, 1, np.float64), start)[self.before]
-        return np.where(n >= LEAST, np.log10(np.maximum(n - self.root.discount, 1e-9) / np.maximum(history, 1)), failed)
+    def history(self, k: int) -> np.ndarray:
+        """Codes of the n-grams of k tokens without their last one."""
+        out = np.zeros(len(self.codes[k]), np.uint64)
+        some = self.at[k] >= 0
+        out[self.at[k][some]] = self.codes[k - 1][self.before(k - 1)[some]]
+        return out
+
+
+def asked(batches: DataFrame, buckets: int) -> DataFrame:
+    """Messages about words and bigrams: differences of codes, and occurrences."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for number, taught, sizes, ids, hashes in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                texts = Batch(taught, sizes, ids, hashes)
+                for k in (1, 2):
+                    own = texts.own(k)
+                    yield from messages(message(b, k, number, s.stop - s.start, [steps(texts.codes[k][s]), own[s]]) for b, s in sent(texts.codes[k], buckets))
+
+    return batches.select("batch", "taught", "sizes", "ids", "hashes").mapInArrow(run, MESSAGE)
+
+
+def answered(role: int, bucket: int, held: list[tuple], buckets: int, least: int) -> Iterator[tuple]:
+    """What a bucket says about the messages of a role; ``held``: (batch, n, a, b, c, d)."""
+    if not held:
+        return
+    codes = np.concatenate([np.cumsum(grown(a, n, np.uint64), dtype=np.uint64) for _, n, a, *_ in held])
+    codes, first, place = np.unique(codes, return_index=True, return_inverse=True)
+    columns = range(3, 6) if role < 0 else range(3, 4)
+    sums = []
+    for j in columns:
+        to = np.zeros(len(codes), np.int64)
+        np.add.at(to, place, np.concatenate([grown(x[j], x[1]) if x[j] is not None else np.zeros(x[1], np.int64) for x in held]))
+        sums.append(to)
+    at = 0
+    for x in held:
+        batch, n = x[0], x[1]
+        here = place[at : at + n]
+        if batch >= 0:
+            more = [(first[here] == np.arange(at, at + n)).astype(np.uint8)] if role == 2 else []
+            yield message(bucket, role, batch, n, [*(s[here] for s in sums), *more])
+        at += n
+    if role == 1:
+        words = sums[0][codes != START]
+        for k, n in enumerate((words > 0, words == 1, words == 2)):
+            yield message(bucket, role, -2 - k, int(n.sum()), [])
+    if role > 2:
+        arcs = sums[0] >= least
+        history = np.concatenate([grown(x[4], x[1], np.uint64) for x in held])[first][arcs]
+        last = np.concatenate([grown(x[5], x[1]) for x in held])[first][arcs]
+        states, place = np.unique(history, return_inverse=True)
+        totals = [np.zeros(len(states), np.int64) for _ in range(3)]
+        for to, x in zip(totals, (np.ones(len(history), np.int64), sums[0][arcs], last), strict=True):
+            np.add.at(to, place, x)
+        for b, s in sent(states, buckets):
+            yield message(b, 1 - role, -1, s.stop - s.start, [steps(states[s]), *(x[s] for x in totals)])
+
+
+def exchanged(rows: DataFrame, buckets: int, least: int, later: tuple[int, ...] = ()) -> DataFrame:
+    """Messages after the buckets have answered them; those of ``later`` roles are passed on."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, role), held in of_each(rows, 2):
+            if role in later:
+                yield from messages((bucket, role, *x) for x in held)
+            else:
+                yield from messages(answered(role, bucket, held, buckets, least))
+
+    rows = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "role", "batch")
+    return materialize(rows.mapInArrow(run, MESSAGE), "answers")
 
 
 def by_batch(batches: DataFrame, n: int, answers: list[DataFrame]) -> DataFrame:
-    """Texts of each batch after the answers to it, as (batch, role, bucket, n, a, b, keys, taught, sizes, ids, crcs)."""
-    nothing = lambda *names: [F.lit(None).alias(c) for c in names]
-    rows = batches.select("batch", F.lit(9).alias("role"), F.lit(-1).alias("bucket"), F.lit(0).alias("n"), *nothing("a", "b"), "keys", "taught", "sizes", "ids", "crcs")
+    """Answers to each batch, and its texts behind them."""
+    texts = ["keys", "taught", "sizes", "ids", "hashes"]
+    nothing = lambda names: [F.lit(None).alias(c) for c in names]
+    rows = batches.select("batch", F.lit(1 << 20).alias("role"), F.lit(-1).alias("bucket"), F.lit(0).alias("n"), *nothing("abcd"), *texts)
     for x in answers:
-        rows = rows.unionAll(x.select("batch", "role", "bucket", "n", "a", "b", *nothing("keys", "taught", "sizes", "ids", "crcs")))
-    return rows.repartition(n, "batch").sortWithinPartitions("batch", "role", "bucket")
-
-
-def met(rows: Iterator[pa.RecordBatch], root: Root) -> Iterator[tuple[int, list, list, Batch]]:
-    """(batch, keys, taught, texts) of ``by_batch`` rows."""
-    for batch, held in of_each(rows):
-        answers = {(role, bucket): (n, a, b) for role, bucket, n, a, b, *_ in held if role != 9}
-        for role, *_, keys, taught, sizes, ids, crcs in held:
-            if role == 9:
-                yield batch, keys, taught, Batch(root, answers, taught, sizes, ids, crcs)
-
-
-def pair_counts(texts: DataFrame, root: Root) -> DataFrame:
-    """Answers (ANSWER) of roles 1, 4 and 5 from the buckets of bigrams."""
-
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _, held in met(rows, root):
-            bucket, n, *data = zip(*held.asked(), strict=True)
-            arrays = [pa.array(bucket, pa.int32()), pa.array([batch] * len(n), pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in data)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "batch", "n", "codes", "counts", "words"])
-
-    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, asked in of_each(rows):
-            codes = np.concatenate([np.cumsum(grown(c, n, np.uint64), dtype=np.uint64) for _, n, c, _, _ in asked])
-            counts, words = (np.concatenate([grown(x[k], x[1]) for x in asked]) for k in (3, 4))
-            codes, first, place = np.unique(codes, return_index=True, return_inverse=True)
-            totals = np.zeros(len(codes), np.int64)
-            np.add.at(totals, place, counts)
-            at = 0
-            for batch, n, *_ in asked:
-                got = totals[place[at : at + n]]
-                yield answer_row(1, batch, bucket, n, [np.where(got >= LEAST, got, 0)])
-                at += n
-            arcs = totals >= LEAST
-            states, place = np.unique((codes[arcs] // np.uint64(root.start + 1)).astype(np.int64), return_inverse=True)
-            sums = [np.zeros(len(states), np.int64) for _ in range(3)]
-            for to, x in zip(sums, (totals[arcs], words[first][arcs], np.ones(int(arcs.sum()), np.int64)), strict=True):
-                np.add.at(to, place, x)
-            if len(states) and states[-1] == root.start:
-                yield answer_row(5, None, -1, 0, sums=[int(x[-1]) for x in sums])
-                states, sums = states[:-1], [x[:-1] for x in sums]
-            for k, chosen in enumerate(_by_bucket(states % root.words, root.words)):
-                if len(chosen):
-                    yield answer_row(4, None, k, len(chosen), [states[chosen] // root.words, *(x[chosen] for x in sums)])
-
-    sent = texts.mapInArrow(ask, "bucket int, batch long, n int, codes binary, counts binary, words binary")
-    sent = sent.repartition(root.pairs, "bucket").sortWithinPartitions("bucket", "batch")
-    return materialize(sent.mapInArrow(answer, ANSWER), "pairs")
-
-
-def backoffs(counts: DataFrame, pairs: DataFrame, root: Root) -> DataFrame:
-    """Answers (ANSWER) of role 2: backoff weights, in the order of a batch's numbers."""
-
-    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in of_each(rows):
-            sums = np.zeros((3, root.start // root.words), np.int64)
-            for role, _, n, at, *data in held:
-                if role == 4:
-                    sums[:, grown(at, n)] += [grown(x, n) for x in data]
-            for role, batch, n, history, at, *_ in held:
-                if role == 0:
-                    yield answer_row(2, batch, bucket, n, [root.backoff(grown(history, n), *sums[:, grown(at, n)])])
-
-    columns = ["bucket", "role", "batch", "n", "a", "b", "c", "d"]
-    both = counts.filter("role = 0").unionAll(pairs.filter("role = 4")).select(*columns)
-    return both.repartition(root.words, "bucket").sortWithinPartitions("bucket", "role", "batch").mapInArrow(answer, ANSWER)
-
-
-def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+        rows = rows.unionAll(x.filter("batch >= 0").select("batch", "role", "bucket", "n", *"abcd", *nothing(texts)))
+    tasks = max(1, min(n, TASKS))
+    rows = rows.repartitionById(tasks, F.floor(F.col("batch") * tasks / n).cast("int"))
+    return rows.sortWithinPartitions("batch", "role", "bucket")
+
+
+def met(rows: Iterator[pa.RecordBatch], known: int, least: int) -> Iterator[tuple[int, list, list, Batch, dict]]:
+    """(batch, keys, taught, texts, answers) of ``by_batch`` rows, counts of up to ``known`` tokens being answered."""
+    for (number,), held in of_each(rows, 1):
+        answers: dict[int, list] = {}
+        for role, _, n, a, b, c, d, keys, taught, sizes, ids, hashes in held:
+            if sizes is None:
+                answers.setdefault(role, []).append((n, a, b, c, d))
+                continue
+            texts = Batch(taught, sizes, ids, hashes)
+            for k in range(1, known + 1):
+                texts.learn(k, answers, least)
+            yield number, keys, taught, texts, answers
+
+
+def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", order: int = 2, least: int = LEAST) -> DataFrame:
     """(key, taught, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows that teach."""
     batches = packed(docs, teaches, key, text)
-    tokens_in = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, n: x + n)
-    size = batches.agg(
-        F.sum("n_words").alias("words"), F.sum("n_taught").alias("total"), F.sum(F.size(F.filter("taught", lambda t: t))).alias("texts"),
-        F.sum(tokens_in).alias("tokens"), F.count(F.lit(1)).alias("n"),
-    ).first()
-    buckets = max(12, math.ceil((size.words or 0) / BUCKET))
-    counts = exchanged(batches, buckets)
-    seen = counts.filter("role = 3").agg(*[F.sum(f"s{i}") for i in range(3)], F.max("n")).first()
-    *seen, places = (int(x or 0) for x in seen)
-    root = Root(size.total or 0, tuple(seen), size.texts or 0, buckets, places, max(12, math.ceil((size.tokens or 0) / PAIRS)))
-    n, words = max(1, size.n), counts.filter("role = 0")
-    pairs = pair_counts(by_batch(batches, n, [words]), root)
-    taken = pairs.filter("role = 5").agg(*[F.sum(f"s{i}") for i in range(3)]).first()
-    start = float(root.backoff(np.array([root.texts]), *(np.array([x or 0]) for x in taken))[0])
+    size = batches.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("n_taught").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    n = max(1, size.n)
+    buckets = max(12, math.ceil((size.words or 0) / BUCKET), math.ceil((size.tokens or 0) / PAIRS))
+    answers = [exchanged(asked(batches, buckets), buckets, least)]
+    seen = answers[0].agg(*[F.sum(F.when(F.col("batch") == -2 - i, F.col("n"))) for i in range(3)]).first()
+    root = Root(size.total or 0, *(x or 0 for x in seen))
+    for k in range(2, order + 1):
+        # What the batches know: counts up to k. They ask for longer n-grams, for the states of k tokens and, at first, of one.
+        def ask(rows: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for number, _, _, texts, _ in met(rows, k, least):
+                if k == 2:
+                    places = texts.histories(1, least)
+                    codes, sums = texts.codes[1][places], [x[places] for x in texts.arcs_of_words(least)]
+                    yield from messages(message(b, -1, number, s.stop - s.start, [steps(codes[s]), *(x[s] for x in sums)]) for b, s in sent(codes, buckets))
+                if k == order:
+                    continue
+                codes = texts.codes[k][texts.histories(k, least)]
+                yield from messages(message(b, -k, number, s.stop - s.start, [steps(codes[s])]) for b, s in sent(codes, buckets))
+                texts.extend(k + 1, texts.seen(k, texts.before(k), least) & texts.seen(k, texts.at[k], least))
+                own, history, last = texts.own(k + 1), texts.history(k + 1), texts.shorter(k + 1)
+                codes = texts.codes[k + 1]
+                yield from messages(message(b, k + 1, number, s.stop - s.start, [steps(codes[s]), own[s], history[s], last[s]]) for b, s in sent(codes, buckets))
+
+        if k < order or k == 2:
+            got = exchanged(by_batch(batches, n, answers).mapInArrow(ask, MESSAGE), buckets, least, later=(-k,))
+            answers.append(got.filter(f"role != {-k}"))
+            if k < order:
+                answers.append(exchanged(got.filter(f"role = {-k}"), buckets, least))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, taught, held in met(rows, root):
-            known, base = (held.counts > 0).astype(np.int64), np.log10((held.counts + 1) / (root.total + root.types + 1))
-            out = [np.add.reduceat(x, held.first) for x in (known[held.ids], base[held.ids], held.traversed(start))]
+        for _, keys, taught, texts, told in met(rows, max(2, order), least):
+            counts = texts.counts[1]
+            known, base = (counts > 0).astype(np.int64), np.log10((counts + 1) / (root.total + root.types + 1))
+            out = [np.add.reduceat(x, texts.first) for x in (known[texts.at[1]], base[texts.at[1]], texts.traversed(root, order, least, told))]
             arrays = [
-                pa.array(keys, pa.int64()), pa.array(taught, pa.bool_()), pa.array(held.sizes), pa.array(out[0]),
-                pa.array(np.full(len(held.sizes), root.total, np.int64)), pa.array(out[1]), pa.array(out[2]),
+                pa.array(keys, pa.int64()), pa.array(taught, pa.bool_()), pa.array(texts.sizes), pa.array(out[0]),
+                pa.array(np.full(len(keys), root.total, np.int64)), pa.array(out[1]), pa.array(out[2]),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "taught", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = by_batch(batches, n, [words, pairs.filter("role = 1"), backoffs(words, pairs, root)])
-    out = both.mapInArrow(run, "key long, taught boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = by_batch(batches, n, answers).mapInArrow(run, "key long, taught boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
