@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Slots of a slot map: 2**26 bits are 8 MiB, whatever the input's size.
 SLOTS = 1 << 26
+#: Whether a query's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,10 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, computed once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, computed once.
+
+    The shuffle files of the write are removed once it has ended, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str | Column) -> Column:
@@ -122,7 +133,7 @@ def runs(batches, keys: int):
             yield tuple(int(c[s]) for c in cols), batch.slice(s, e - s)
 
 
-def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors: DataFrame | None = None) -> DataFrame:
+def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None) -> DataFrame:
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
     Members are dealt by their hash to ``ceil(members / size)`` tiles of their group. Without ``visitors``, there is a
@@ -131,7 +142,8 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors
     ``visitors``, these come to every tile of their group, where they are streamed. The result, with the columns tile and
     other behind the group's, is spread by all these and sorted so that homes come first.
     """
-    tiles = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_tiles"))
+    tiles = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    tiles = tiles.withColumn("_tiles", F.ceil(F.col("_n") / size).cast("int")).drop("_n")
     home = members.join(tiles, group).withColumn("_tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     if visitors is None:
@@ -143,7 +155,7 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int, visitors
             }
         ).drop("_k", "_tile")
     else:
-        guests = visitors.join(tiles, group).withColumn("tile", every).withColumns({"other": F.lit(0), "role": F.lit(1)})
+        guests = visitors.join(tiles, group).withColumn("tile", every).withColumn("other", F.lit(0))
         both = home.withColumnRenamed("_tile", "tile").withColumns({"other": F.lit(0), "role": F.lit(0)}).unionByName(guests)
     first = [*group, "tile", "other", "role"]
     both = both.select(*first, *[c for c in both.columns if c not in first and c != "_tiles"])

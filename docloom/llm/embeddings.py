@@ -2,98 +2,174 @@
 
 For unit vectors, cosine >= c is squared distance <= 2 - 2c. Vectors are rotated by a fixed random orthogonal matrix and
 split into BLOCKS blocks of equal width; a pair within the whole budget is within a block's proportional share of it in
-at least one block. Each block is joined by range: its first coordinate, which differs by no more than the square root
-of the share, is cut into slabs at quantiles, and a vector visits every slab that its range touches. Inside a slab, block
-distances within the share select candidates, and the union of candidates over blocks is verified exactly, by cosine in
-double precision of the vectors as given. A pair is counted in the first block that finds it, so no pair is emitted:
-tasks return each vector's number of links and a spanning forest of the links they saw.
-
-Slabs with many homes are tiled, so the vectors of a hot slab are spread and a task holds TILE homes and streams visitors.
-The work left in a slab grows with homes times visitors: at cosine 0.95 the range of a coordinate is wide against its
-spread, for which no cheaper exact range join is known; distances are computed as matrix products.
-
-Defined cases: vectors that are null, empty, zero, not of the table's most common width or with null or non-finite
-components link with nothing; equal vectors link; rows sharing an id count as one node each (their links add up); rows
-with a null id link with nothing; an empty table gives an empty result; other columns are ignored.
+at least one block. Each block is joined by range over several of its coordinates: these are cut at quantiles, which gives
+boxes of about SLAB vectors. A vector is at home in its box and visits the boxes of lower numbers
+whose squared distance from it, summed over the block's cut coordinates, is within the share, so each pair of vectors is
+met in one box. Inside a box, block distances within the share select candidates, and the union of candidates over blocks
+is verified exactly, by cosine in double precision of the vectors as given. A pair is counted in the first block that
+finds it, so no pair is emitted: tasks return each vector's number of links and a spanning forest of the links they saw.
+
+Boxes with many homes are tiled, so the vectors of a hot box are spread and a task holds one tile's homes, of ROOM
+coordinates at most, and streams visitors. The more boxes there are, the more coordinates are cut and the smaller the share of
+them that a vector visits; distances are computed as matrix products. Vectors of each width are a join of their own.
+Quantiles are those of at most about SAMPLE vectors; they steer the boxes' sizes, not the result.
+
+Defined cases: vectors that are null, empty, zero or with null or non-finite components link with nothing, and neither do
+vectors of different widths; equal vectors link; rows sharing an id count as one node each (their links add up); rows with
+a null id link with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bisected, materialize, runs, tiled
+from docloom.llm.common import materialize, runs, tiled
 from docloom.llm.components import components
 
-#: Blocks, members of a slab as a goal, homes of a tile, visitors compared at once.
-BLOCKS, SLAB, TILE, VISITORS = 4, 16_384, 8_192, 1_024
+#: Blocks; members of a box as a goal, homes of a tile, and the coordinates that either has at most; homes and visitors
+#: compared at once.
+BLOCKS, SLAB, TILE, ROOM, HOMES, VISITORS = 4, 65_536, 65_536, 1 << 22, 8_192, 1_024
+#: Vectors of a width that quantiles are taken from, about.
+SAMPLE = 8_192
 #: Added to a block's share for rounding: candidates are verified exactly.
 SLACK = 1e-6
 
 
+@lru_cache(maxsize=8)
 def rotation(width: int) -> np.ndarray:
     """A random orthogonal matrix, the same everywhere."""
     q, r = np.linalg.qr(np.random.default_rng(0xC0FFEE).standard_normal((width, width)))
     return q * np.sign(np.diag(r))
 
 
+def cuts(width: int) -> list[int]:
+    """The first coordinate of each block, and the end."""
+    blocks = min(BLOCKS, width)
+    return [round(width * k / blocks) for k in range(blocks + 1)]
+
+
+def shares(width: int, cosine: float) -> list[float]:
+    """Each block's part of the budget of squared distance."""
+    at = cuts(width)
+    return [(2 - 2 * cosine) * (b - a) / width + SLACK for a, b in zip(at, at[1:], strict=False)]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
+def units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def boxes_for(total: int, width: int) -> list[int]:
+    """Into how many slabs each coordinate of a block is cut, so that boxes have about SLAB vectors."""
+    slabs = [1] * min(b - a for a, b in zip(cuts(width), cuts(width)[1:], strict=False))
+    many = 1
+    while many * max(1, min(SLAB, ROOM // width)) < total:
+        k = slabs.index(min(slabs))
+        many = many // slabs[k] * (slabs[k] + 1)
+        slabs[k] += 1
+    return slabs
+
+
+def bounds_of(rows: DataFrame, totals: dict[int, int]) -> dict[int, list[list[np.ndarray]]]:
+    """For each width, block and cut coordinate: the slabs' bounds."""
+    out = {}
+    for width, total in totals.items():
+        slabs = [s for s in boxes_for(total, width) if s > 1]
+        out[width] = [[] for _ in cuts(width)[1:]]
+        if slabs:
+            some = F.pmod(F.xxhash64("id", "v"), F.lit(total)) < SAMPLE
+            v = rows.filter((F.col("w") == width) & some).select("v").limit(2 * SAMPLE).toArrow()
+            if v.num_rows:
+                r = units(_matrix(v.column("v").combine_chunks(), width)) @ rotation(width)
+                steps = [np.arange(1, s) / s for s in slabs]
+                out[width] = [[np.quantile(r[:, a + j], q) for j, q in enumerate(steps)] for a in cuts(width)[:-1]]
+    return out
+
+
+def home(r: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
+    """The number of each row's box; ``r``: coordinates of the block."""
+    out = np.zeros(len(r), np.int64)
+    for j, b in enumerate(bounds):
+        out = out * (len(b) + 1) + np.searchsorted(b, r[:, j], "right")
+    return out
+
+
+def visited(r: np.ndarray, bounds: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) of the boxes whose squared distance from a row is at most ``share``."""
+    row, box, far = np.arange(len(r)), np.zeros(len(r), np.int64), np.zeros(len(r))
+    for j, b in enumerate(bounds):
+        low, high = np.append(-np.inf, b), np.append(b, np.inf)
+        x = r[row, j][:, None]
+        d = far[:, None] + np.maximum(np.maximum(low - x, x - high), 0) ** 2
+        at, slab = np.nonzero(d <= share)
+        row, box, far = row[at], box[at] * len(low) + slab, d[at, slab]
+    return row, box
+
+
 def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(counts, forest): (id, n) partial numbers of links, and links (a, b) that connect what is linked."""
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = rows.filter(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    rows = rows.withColumn("w", F.size("v"))
+    totals = {r.w: r["count"] for r in rows.groupBy("w").count().filter("count > 1").collect()}  # a row for each width
     spark = vectors.sparkSession
-    if common is None:
+    if not totals:
         return spark.createDataFrame([], "id long, n long"), spark.createDataFrame([], "a long, b long")
-    width, total = common.w, common["count"]
-    rows = rows.filter(F.size("v") == width)
-    blocks = min(BLOCKS, width)
-    budget = 2 - 2 * cosine
-    cuts = [round(width * k / blocks) for k in range(blocks + 1)]
-    shares = [budget * (cuts[k + 1] - cuts[k]) / width + SLACK for k in range(blocks)]
-    turn = rotation(width)
-
-    def units(v: np.ndarray) -> np.ndarray:
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    bounds = bounds_of(rows, totals)
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+        """(width, rows, rotated units) of rows whose width has others."""
         for batch in batches:
-            if batch.num_rows:
-                r = units(_matrix(batch.column(1), width)) @ turn
-                at = pa.ListArray.from_arrays(
-                    pa.array(np.arange(batch.num_rows + 1) * blocks, pa.int32()), pa.array(np.ascontiguousarray(r[:, cuts[:-1]]).ravel())
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at], names=["id", "v", "at"])
+            w = batch.column(0).to_numpy()
+            for width in np.unique(w).tolist():
+                part = batch.filter(pa.array(w == width))
+                for at in range(0, part.num_rows if width in totals else 0, 1024):
+                    piece = part.slice(at, 1024)
+                    yield width, piece, units(_matrix(piece.column(2), width)) @ rotation(width)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for width, part, r in of_width(batches):
+            at = cuts(width)
+            homes = np.stack([home(r[:, a:b], bounds[width][k]) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * homes.shape[1], pa.int32()), pa.array(homes.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["w", "id", "v", "homes"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visitors of boxes: role 1 of their own, 2 of others."""
+        for width, part, r in of_width(batches):
+            at, own = cuts(width), part.column(3).flatten().to_numpy().reshape(len(r), -1)
+            for k, share in enumerate(shares(width, cosine)):
+                row, box = visited(r[:, at[k] : at[k + 1]], bounds[width][k], share)
+                lower = box < own[row, k]
+                row, box = np.append(np.arange(len(r)), row[lower]), np.append(own[:, k], box[lower])
+                for s in range(0, len(row), 8192):
+                    some, to = row[s : s + 8192], box[s : s + 8192]
+                    block, role = np.full(len(some), width * BLOCKS + k), 1 + (to != own[some, k]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block), pa.array(to), pa.array(role), part.column(1).take(pa.array(some)), part.column(2).take(pa.array(some))], names=["block", "box", "role", "id", "v"]
+                    )
 
     kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
-    placed = rows.mapInArrow(firsts, "id long, v array<double>, at array<double>")
-    placed = materialize(placed.withColumn("v", F.col("v").cast(kept)), "placed")
-    slabs = max(1, min(4096, math.ceil(total / SLAB)))
-    steps = [i / slabs for i in range(1, slabs)]
-    bounds = [[]] * blocks
-    if steps:
-        bounds = [sorted(set(b or [])) for b in placed.agg(*[F.percentile_approx(F.col("at")[k], steps, 10 * slabs) for k in range(blocks)]).first()]
-    slab = lambda k, d: bisected(F.col("at")[k] + d, bounds[k])
-    reach = [math.sqrt(x) for x in shares]
-    homes = F.array(*[F.struct(F.lit(k).alias("block"), slab(k, 0.0).alias("slab")) for k in range(blocks)])
-    calls = F.array(*[F.struct(F.lit(k).alias("block"), slab(k, -reach[k]).alias("lo"), slab(k, reach[k]).alias("hi")) for k in range(blocks)])
-    members = placed.select(F.explode(homes).alias("p"), "id", "v").select("p.block", "p.slab", "id", "v")
-    visitors = placed.select(F.explode(calls).alias("p"), "id", "v").select("p.block", F.explode(F.sequence("p.lo", "p.hi")).alias("slab"), "id", "v")
-    rows = tiled(members, ["block", "slab"], "id", TILE, visitors)
+    placed = materialize(rows.select("w", "id", F.col("v").cast(kept).alias("v")).mapInArrow(place, f"w int, id long, v {kept}, homes array<long>"), "placed")
+    members = placed.select("w", F.posexplode("homes").alias("k", "box"), "id", "v")
+    members = members.select((F.col("w").cast("long") * BLOCKS + F.col("k")).alias("block"), "box", "id", "v")
+    visitors = placed.mapInArrow(visit, f"block long, box long, role int, id long, v {kept}")
+    room = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(ROOM) / F.floor(F.col("block") / BLOCKS))))
+    rows = tiled(members, ["block", "box"], "id", room, visitors)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, homes, ids, u, r = None, [], None, None, None
+        group, homes, u = None, [], None
         counts: dict[int, int] = {}
         parent: dict[int, int] = {}
 
@@ -105,9 +181,16 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
                     pairs.clear()
 
-        for (block, slab, tile, _, role), part in runs(batches, 5):
-            if (block, slab, tile) != group:
-                group, homes, u = (block, slab, tile), [], None
+        def count(nodes: np.ndarray) -> None:
+            for x, n in zip(*(v.tolist() for v in np.unique(nodes, return_counts=True)), strict=True):
+                counts[x] = counts.get(x, 0) + n
+
+        for (number, box, tile, _, role), part in runs(batches, 5):
+            if (number, box, tile) != group:
+                group, homes, u = (number, box, tile), [], None
+                width, block = divmod(number, BLOCKS)
+                at, share, turn = cuts(width), shares(width, cosine), rotation(width)
+                s = slice(at[block], at[block + 1])
                 yield from flush()
             if not role:
                 homes.append((part.column(5).to_numpy(), _matrix(part.column(6), width)))
@@ -117,40 +200,39 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
             if u is None:
                 ids = np.concatenate([x[0] for x in homes])
                 u = units(np.concatenate([x[1] for x in homes]))
+                homes = [()]
                 r = u @ turn
-                squares = [(r[:, cuts[k] : cuts[k + 1]] ** 2).sum(axis=1) for k in range(blocks)]
+                # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.
+                hr = np.concatenate([-2 * r[:, s], (r[:, s] ** 2).sum(axis=1)[:, None], np.ones((len(r), 1))], axis=1).astype(np.float32)
             other_ids, other = part.column(5).to_numpy(), units(_matrix(part.column(6), width))
             other_r = other @ turn
-            s = slice(cuts[block], cuts[block + 1])
-            # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.
-            ones = np.ones((len(r), 1))
-            hr = np.ascontiguousarray(np.concatenate([-2 * r[:, s], squares[block][:, None], ones], axis=1), np.float32)
-            limit = shares[block] + 1e-5  # for single precision
+            limit = share[block] + 1e-5  # for single precision
             orr = np.concatenate([other_r[:, s], np.ones((len(other_r), 1)), (other_r[:, s] ** 2).sum(axis=1)[:, None] - limit], axis=1)
             orr = np.ascontiguousarray(orr.T, np.float32)
-            for at in range(0, len(other_ids), VISITORS):
-                oid, ou, orot = other_ids[at : at + VISITORS], other[at : at + VISITORS], other_r[at : at + VISITORS]
-                found = np.flatnonzero((hr @ orr[:, at : at + VISITORS]).ravel() <= 0)
+            for v, h in ((v, h) for v in range(0, len(other_ids), VISITORS) for h in range(0, len(ids), HOMES)):
+                hid, hu, hrot = ids[h : h + HOMES], u[h : h + HOMES], r[h : h + HOMES]
+                oid, ou, orot = other_ids[v : v + VISITORS], other[v : v + VISITORS], other_r[v : v + VISITORS]
+                found = np.flatnonzero((hr[h : h + HOMES] @ orr[:, v : v + VISITORS]).ravel() <= 0)
                 i, j = np.divmod(found, len(oid))
-                new = ids[i] != oid[j]
+                new = hid[i] < oid[j] if role == 1 else hid[i] != oid[j]  # two homes of a box meet twice in it
                 i, j = i[new], j[new]
                 for piece in range(0, len(i), 1 << 16):
                     a, b = i[piece : piece + (1 << 16)], j[piece : piece + (1 << 16)]
-                    d = r[a] - orot[b]
+                    d = hrot[a] - orot[b]
                     d *= d
-                    close = np.einsum("ij,ij->i", d[:, s], np.ones_like(d[:, s])) <= shares[block]
+                    close = d[:, s].sum(axis=1) <= share[block]
                     for k in range(block):  # an earlier block has this pair
-                        close &= d[:, cuts[k] : cuts[k + 1]].sum(axis=1) > shares[k]
+                        close &= d[:, at[k] : at[k + 1]].sum(axis=1) > share[k]
                     a, b = a[close], b[close]
-                    real = np.einsum("ij,ij->i", u[a], ou[b]) >= cosine
+                    real = np.einsum("ij,ij->i", hu[a], ou[b]) >= cosine
                     a, b = a[real], b[real]
                     if not len(a):
                         continue
-                    for x, n in zip(*np.unique(a, return_counts=True), strict=True):
-                        counts[int(ids[x])] = counts.get(int(ids[x]), 0) + int(n)
+                    count(hid[a])
+                    count(oid[b])
                     # Each home and each visitor takes the smallest id linked to it; homes keep theirs over batches.
-                    low = np.full(len(ids), 2**63 - 1, np.int64)
-                    np.minimum.at(low, a, np.minimum(oid[b], ids[a]))
+                    low = np.full(len(hid), 2**63 - 1, np.int64)
+                    np.minimum.at(low, a, np.minimum(oid[b], hid[a]))
                     while True:
                         seen = np.full(len(oid), 2**63 - 1, np.int64)
                         np.minimum.at(seen, b, low[a])
@@ -158,14 +240,14 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                         np.minimum.at(low, a, seen[b])
                         if (low[a] == before).all():
                             break
-                    h, o = np.unique(a), np.unique(b)
-                    for node, to in [*zip(ids[h].tolist(), low[h].tolist(), strict=True), *zip(oid[o].tolist(), seen[o].tolist(), strict=True)]:
+                    x, y = np.unique(a), np.unique(b)
+                    for node, to in [*zip(hid[x].tolist(), low[x].tolist(), strict=True), *zip(oid[y].tolist(), seen[y].tolist(), strict=True)]:
                         if node != to:
                             old = parent.get(node)
                             if old is not None and old != to:  # both stay connected to the node
                                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([node]), pa.array([old])], names=["kind", "a", "b"])
                             parent[node] = to
-                if len(parent) > 1_000_000:
+                if len(parent) + len(counts) > 2_000_000:
                     yield from flush()
         yield from flush()
 

@@ -15,12 +15,10 @@ broadcast. N-grams are told by 64-bit hashes, so that among n of them about n**2
 n-grams: 0.03 pairs).
 1. Tasks pack texts into batches of about BATCH tokens. Each batch sends its distinct words and bigrams to the buckets of
    their hashes, and gets corpus counts back. Of the batches that ask for an n-gram, the first is told that it is.
-2. For each order above two, a batch sends the n-grams whose first and last order - 1 tokens are arcs (no other can be
-   one), each with its history and with the count of its last tokens. The buckets answer with counts, and add up for each
-   history what its arcs take; a bigram's history gets this from the first batches.
-3. Batches get these sums from the buckets of their histories, and with them the backoff weights.
-A frequent n-gram is one entry of each batch, a frequent history one sum of each bucket or batch. Messages number batches
-times buckets.
+2. For each order from two on, the batches that were first add up for each history what its arcs take, send these sums to
+   the histories' buckets, and get the whole sums of all their histories back, which give backoff weights. At the same
+   time they ask for the next longer n-grams whose first and last ``order`` tokens are arcs (no others can be).
+A frequent n-gram or history is one entry of each batch. Messages number batches times buckets, so both are made large.
 
 Defined cases: null and empty texts are one end; texts are never cut; null ids are scored and, as the caller's condition
 is null for them, not learnt from; repeated rows count as often as they occur; with no training texts all counts are 0
@@ -122,8 +120,8 @@ def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
     return batches.select("batch", *names[2:])
 
 
-#: What batches and buckets tell each other. role k: n-grams of k tokens, -k: histories of k tokens; batch -1: sums for a
-#: history's bucket; -2, -3, -4: numbers (n) of the words there are, seen once, seen twice.
+#: What batches and buckets tell each other. role k: n-grams of k tokens, -k: histories of k tokens; batch -2, -3, -4:
+#: numbers (n) of the words there are, seen once, seen twice. Messages hold no more arrays than three.
 MESSAGE = "bucket int, role int, batch long, n int, a binary, b binary, c binary, d binary"
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 _NAMES = ["bucket", "role", "batch", "n", "a", "b", "c", "d"]
@@ -224,7 +222,7 @@ class Batch:
         self.code = np.frombuffer(hashes, np.uint64)[grown(ids, n, np.uint32)]
         codes, at = np.unique(np.append(self.code, START), return_inverse=True)
         self.start = int(at[-1])
-        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: at[:-1]}, {}, None
+        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: at[:-1]}, {}, {}
         self.extend(2, np.ones(n, bool))
 
     def before(self, k: int) -> np.ndarray:
@@ -253,11 +251,11 @@ class Batch:
     def learn(self, k: int, answers: dict, least: int) -> None:
         """Take the counts of ``answers``: {role: messages in the order of buckets}."""
         if k > 2:
-            self.extend(k, self.seen(k - 1, self.before(k - 1), least) & self.seen(k - 1, self.at[k - 1], least))
+            self.extend(k, self.arcs(k - 1, least))
         got = answers.get(k, [])
         self.counts[k] = np.concatenate([np.zeros(0, np.int64), *(grown(a, n) for n, a, *_ in got)])
-        if k == 2:
-            self.flags = np.concatenate([np.zeros(0, np.uint8), *(grown(b, n, np.uint8) for n, _, b, *_ in got)]) > 0
+        if k > 1:
+            self.flags[k] = np.concatenate([np.zeros(0, np.uint8), *(grown(b, n, np.uint8) for n, _, b, *_ in got)]) > 0
 
     def seen(self, k: int, places: np.ndarray, least: int) -> np.ndarray:
         """Whether the n-grams at ``places`` occur ``least`` times in training."""
@@ -265,21 +263,26 @@ class Batch:
             return np.zeros(len(places), bool)
         return (places >= 0) & (self.counts[k][places] >= least)
 
+    def arcs(self, k: int, least: int) -> np.ndarray:
+        """Whether the k tokens before each token and the k tokens up to it are arcs."""
+        return self.seen(k, self.before(k), least) & self.seen(k, self.at[k], least)
+
     def histories(self, k: int, least: int) -> np.ndarray:
         """The places of the states of k tokens whose backoff weights the batch may need: each has training texts."""
         places = np.unique(self.before(k))
         places = places[places >= 0]
         return places[self.counts[k][places] >= (least if k > 1 else 1)]
 
-    def arcs_of_words(self, least: int) -> tuple[np.ndarray, ...]:
-        """By word: numbers of arcs, their occurrences, and those of their words, for arcs that the batch was first to ask for."""
-        history = np.zeros(len(self.codes[2]), np.int64)
-        word = np.zeros(len(self.codes[2]), np.int64)
-        history[self.at[2]], word[self.at[2]] = self.before(1), self.at[1]
-        arcs = (self.counts[2] >= least) & self.flags
-        sums = [np.zeros(len(self.codes[1]), np.int64) for _ in range(3)]
-        for to, x in zip(sums, (np.ones(int(arcs.sum()), np.int64), self.counts[2][arcs], self.counts[1][word[arcs]]), strict=True):
-            np.add.at(to, history[arcs], x)
+    def taken(self, k: int, least: int) -> tuple[np.ndarray, ...]:
+        """By history of k tokens: numbers of arcs, their occurrences, and those without their first token, for arcs that
+        the batch was first to ask for."""
+        history = np.zeros(len(self.codes[k + 1]), np.int64)
+        some = self.at[k + 1] >= 0
+        history[self.at[k + 1][some]] = self.before(k)[some]
+        arcs = (self.counts[k + 1] >= least) & self.flags[k + 1]
+        sums = [np.zeros(len(self.codes[k]), np.int64) for _ in range(3)]
+        for to, x in zip(sums, (np.ones(len(arcs), np.int64), self.counts[k + 1], self.shorter(k + 1)), strict=True):
+            np.add.at(to, history[arcs], x[arcs])
         return tuple(sums)
 
     def traversed(self, root: Root, order: int, least: int, answers: dict) -> np.ndarray:
@@ -315,13 +318,6 @@ class Batch:
         out[self.at[k][some]] = self.counts[k - 1][self.at[k - 1][some]]
         return out
 
-    def history(self, k: int) -> np.ndarray:
-        """Codes of the n-grams of k tokens without their last one."""
-        out = np.zeros(len(self.codes[k]), np.uint64)
-        some = self.at[k] >= 0
-        out[self.at[k][some]] = self.codes[k - 1][self.before(k - 1)[some]]
-        return out
-
 
 def asked(batches: DataFrame, buckets: int) -> DataFrame:
     """Messages about words and bigrams: differences of codes, and occurrences."""
@@ -337,51 +333,35 @@ def asked(batches: DataFrame, buckets: int) -> DataFrame:
     return batches.select("batch", "taught", "sizes", "ids", "hashes").mapInArrow(run, MESSAGE)
 
 
-def answered(role: int, bucket: int, held: list[tuple], buckets: int, least: int) -> Iterator[tuple]:
+def answered(role: int, bucket: int, held: list[tuple]) -> Iterator[tuple]:
     """What a bucket says about the messages of a role; ``held``: (batch, n, a, b, c, d)."""
-    if not held:
-        return
     codes = np.concatenate([np.cumsum(grown(a, n, np.uint64), dtype=np.uint64) for _, n, a, *_ in held])
     codes, first, place = np.unique(codes, return_index=True, return_inverse=True)
     columns = range(3, 6) if role < 0 else range(3, 4)
     sums = []
     for j in columns:
         to = np.zeros(len(codes), np.int64)
-        np.add.at(to, place, np.concatenate([grown(x[j], x[1]) if x[j] is not None else np.zeros(x[1], np.int64) for x in held]))
+        np.add.at(to, place, np.concatenate([grown(x[j], x[1]) for x in held]))
         sums.append(to)
     at = 0
     for x in held:
         batch, n = x[0], x[1]
         here = place[at : at + n]
-        if batch >= 0:
-            more = [(first[here] == np.arange(at, at + n)).astype(np.uint8)] if role == 2 else []
-            yield message(bucket, role, batch, n, [*(s[here] for s in sums), *more])
+        more = [(first[here] == np.arange(at, at + n)).astype(np.uint8)] if role > 1 else []
+        yield message(bucket, role, batch, n, [*(s[here] for s in sums), *more])
         at += n
     if role == 1:
         words = sums[0][codes != START]
         for k, n in enumerate((words > 0, words == 1, words == 2)):
             yield message(bucket, role, -2 - k, int(n.sum()), [])
-    if role > 2:
-        arcs = sums[0] >= least
-        history = np.concatenate([grown(x[4], x[1], np.uint64) for x in held])[first][arcs]
-        last = np.concatenate([grown(x[5], x[1]) for x in held])[first][arcs]
-        states, place = np.unique(history, return_inverse=True)
-        totals = [np.zeros(len(states), np.int64) for _ in range(3)]
-        for to, x in zip(totals, (np.ones(len(history), np.int64), sums[0][arcs], last), strict=True):
-            np.add.at(to, place, x)
-        for b, s in sent(states, buckets):
-            yield message(b, 1 - role, -1, s.stop - s.start, [steps(states[s]), *(x[s] for x in totals)])
 
 
-def exchanged(rows: DataFrame, buckets: int, least: int, later: tuple[int, ...] = ()) -> DataFrame:
-    """Messages after the buckets have answered them; those of ``later`` roles are passed on."""
+def exchanged(rows: DataFrame, buckets: int) -> DataFrame:
+    """The buckets' answers to messages."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, role), held in of_each(rows, 2):
-            if role in later:
-                yield from messages((bucket, role, *x) for x in held)
-            else:
-                yield from messages(answered(role, bucket, held, buckets, least))
+            yield from messages(answered(role, bucket, held))
 
     rows = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "role", "batch")
     return materialize(rows.mapInArrow(run, MESSAGE), "answers")
@@ -419,31 +399,22 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     size = batches.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("n_taught").alias("total"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, size.n)
     buckets = max(12, math.ceil((size.words or 0) / BUCKET), math.ceil((size.tokens or 0) / PAIRS))
-    answers = [exchanged(asked(batches, buckets), buckets, least)]
+    answers = [exchanged(asked(batches, buckets), buckets)]
     seen = answers[0].agg(*[F.sum(F.when(F.col("batch") == -2 - i, F.col("n"))) for i in range(3)]).first()
     root = Root(size.total or 0, *(x or 0 for x in seen))
     for k in range(2, order + 1):
-        # What the batches know: counts up to k. They ask for longer n-grams, for the states of k tokens and, at first, of one.
+
         def ask(rows: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for number, _, _, texts, _ in met(rows, k, least):
-                if k == 2:
-                    places = texts.histories(1, least)
-                    codes, sums = texts.codes[1][places], [x[places] for x in texts.arcs_of_words(least)]
-                    yield from messages(message(b, -1, number, s.stop - s.start, [steps(codes[s]), *(x[s] for x in sums)]) for b, s in sent(codes, buckets))
-                if k == order:
-                    continue
-                codes = texts.codes[k][texts.histories(k, least)]
-                yield from messages(message(b, -k, number, s.stop - s.start, [steps(codes[s])]) for b, s in sent(codes, buckets))
-                texts.extend(k + 1, texts.seen(k, texts.before(k), least) & texts.seen(k, texts.at[k], least))
-                own, history, last = texts.own(k + 1), texts.history(k + 1), texts.shorter(k + 1)
-                codes = texts.codes[k + 1]
-                yield from messages(message(b, k + 1, number, s.stop - s.start, [steps(codes[s]), own[s], history[s], last[s]]) for b, s in sent(codes, buckets))
-
-        if k < order or k == 2:
-            got = exchanged(by_batch(batches, n, answers).mapInArrow(ask, MESSAGE), buckets, least, later=(-k,))
-            answers.append(got.filter(f"role != {-k}"))
-            if k < order:
-                answers.append(exchanged(got.filter(f"role = {-k}"), buckets, least))
+                places = texts.histories(k - 1, least)
+                codes, sums = texts.codes[k - 1][places], [x[places] for x in texts.taken(k - 1, least)]
+                yield from messages(message(b, 1 - k, number, s.stop - s.start, [steps(codes[s]), *(x[s] for x in sums)]) for b, s in sent(codes, buckets))
+                if k < order:
+                    texts.extend(k + 1, texts.arcs(k, least))
+                    codes, own = texts.codes[k + 1], texts.own(k + 1)
+                    yield from messages(message(b, k + 1, number, s.stop - s.start, [steps(codes[s]), own[s]]) for b, s in sent(codes, buckets))
+
+        answers.append(exchanged(by_batch(batches, n, answers).mapInArrow(ask, MESSAGE), buckets))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, taught, texts, told in met(rows, max(2, order), least):
