@@ -3,8 +3,12 @@
 A softmax classifier of domains is fitted on labelled documents and gives each document's posterior p over the domains.
 Document rates r >= lowest are fitted so that the expected domain totals of tokens, sum of r * tokens * p, match the
 targets: least squares by projected gradient. A gradient step changes a document's rate by -p . u, u being the residual
-of all domains in the metric of their second moments; so the state is the short list of vectors u, each iteration is one
-distributed sum of a vector, and rates are replayed from the list wherever they are needed.
+of all domains in the metric of the second moments of the documents whose rate isn't at its bound; so the state is the
+short list of vectors u, each iteration is one distributed sum of a vector, and rates are replayed from the list wherever
+they are needed. A step that makes the residual worse is taken back and replaced by one in the metric of all documents,
+which can't. The fit ends when the residual is at most MET of the targets' tokens. Where a plain step gains less than
+LITTLE of the residual, or after ITERATIONS, it ends too, with a warning; the result tells the residual and whether it
+was met, as targets need not be within the bounds' reach.
 
 The classifier is fitted on at most SAMPLE labelled rows, those whose ids hash lowest. Counts of tokens, moments and
 residuals are over all documents.
@@ -17,6 +21,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +35,10 @@ from docloom.llm.minhash import word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most; buckets of hashed words; iterations at most.
 SAMPLE, BUCKETS, ITERATIONS = 6_000, 512, 60
+#: Shares of the targets' tokens that a met residual has at most, and of the residual that a plain step has to gain.
+MET, LITTLE = 1e-6, 0.02
+#: How many times the tokens that let every domain keep its own are resampled at most, so that targets are in reach.
+REACH = 2.0
 SLICE = 256
 
 
@@ -127,39 +136,84 @@ def replayed(p: np.ndarray, moves: list[np.ndarray], lowest: float) -> np.ndarra
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, lowest: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """(moves, totals): the gradient steps, and the expected tokens of each domain after them."""
-    k = len(targets)
+def sums(members: DataFrame, k: int, moves: list[np.ndarray], lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(totals, free, parts): expected tokens of each domain after ``moves``, second moments of the documents whose rate
+    is above ``lowest``, and by likeliest domain the expected tokens at a rate of 1."""
 
-    def summed(moves: list[np.ndarray], moments: bool) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k * k if moments else k)
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, free, parts = np.zeros(k), np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                total += ((p * t[:, None]).T @ p).ravel() if moments else (t * replayed(p, moves, lowest)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
-
-        rows = members.select("tokens", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k * k if moments else k)
-        for r in rows:
-            out[r.k] = r.v
-        return out
-
-    moment = summed([], True).reshape(k, k)
-    scale = np.trace(moment)
-    moves: list[np.ndarray] = []
-    totals = summed(moves, False)
-    if scale <= 0:
-        return moves, totals
-    metric = np.linalg.pinv(moment + 1e-9 * scale * np.eye(k))
+                r = replayed(p, moves, lowest)
+                tp = p * t[:, None]
+                total += r @ tp
+                free += tp[r > lowest].T @ p[r > lowest]
+                np.add.at(parts, p.argmax(axis=1), tp)
+        out = np.concatenate([total, free.ravel(), parts.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["k", "v"])
+
+    out = np.zeros(k + 2 * k * k)
+    for r in members.select("tokens", "p").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out[:k], out[k : k + k * k].reshape(k, k), out[k + k * k :].reshape(k, k)
+
+
+@dataclass
+class Fit:
+    """Gradient steps, the largest residual as a share of the targets' tokens, and whether it is at most MET."""
+
+    moves: list[np.ndarray]
+    residual: float
+    met: bool
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, lowest: float, begin: tuple | None = None) -> Fit:
+    """Rates of ``members`` (tokens, p) whose expected totals are nearest to ``targets``; ``begin``: ``sums`` of all documents."""
+    k = len(targets)
+
+    def metric(moments: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(moments + 1e-9 * scale * np.eye(k))
+
+    def off(totals: np.ndarray) -> float:
+        return float(np.abs(totals - targets).max() / targets.sum()) if targets.sum() > 0 else 0.0
+
+    totals, whole, _ = begin or sums(members, k, [], -np.inf)
+    scale = np.trace(whole)
+    best = Fit([], off(totals), off(totals) <= MET)
+    if scale <= 0 or best.met:
+        return Fit([], best.residual, True) if scale <= 0 else best
+    at, free, plain_step = totals, whole, True
     for _ in range(ITERATIONS):
-        rest = totals - targets
-        if np.abs(rest).max() <= 1e-6 * targets.sum():
+        moves = [*best.moves, metric(free) @ (at - targets)]
+        totals, above, _ = sums(members, k, moves, lowest)
+        gain = 1 - off(totals) / best.residual
+        if gain > 0:
+            best, at, free = Fit(moves, off(totals), off(totals) <= MET), totals, above
+        if best.met or plain_step and gain < LITTLE:
             break
-        moves.append(metric @ rest)
-        totals = summed(moves, False)
-    return moves, totals
+        # After a step that gained little or nothing, one in the metric of all documents.
+        plain_step = gain < LITTLE
+        if plain_step:
+            free = whole
+    if not best.met:
+        warnings.warn(f"rates of at least {lowest} leave a residual of {best.residual:.3g} of the target tokens after {len(best.moves)} steps", stacklevel=2)
+    return best
+
+
+def reachable(parts: np.ndarray, weights: np.ndarray) -> float:
+    """The fewest tokens that mix to ``weights`` (shares) when no document's rate is under 1.
+
+    Each domain keeps its own tokens, and what the documents of a likeliest domain are repeated adds to all domains in the
+    shares of their posteriors, as ``parts`` has them by likeliest domain. At most REACH times the first bound.
+    """
+    have = parts.sum(axis=0)
+    least = max(have.sum(), *(have[weights > 0] / weights[weights > 0]))
+    some = parts.sum(axis=1) > 0
+    leak = np.linalg.pinv((parts[some] / parts[some].sum(axis=1, keepdims=True)).T)
+    up, own = leak @ weights, leak @ have
+    return float(min(REACH * least, max(least, *(own[up > 1e-9] / up[up > 1e-9]), 0.0)))
 
 
 def target_totals(names: list[str], weights: dict[str, float], tokens: float) -> np.ndarray:
@@ -173,29 +227,29 @@ def mix(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], domain: str = "lang", lowest: float = 0.0,
     upsample: bool = False, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(key, h, n_tokens, domain, posterior, rate) of every row.
+    """(key, h, n_tokens, domain, posterior, rate, residual, met) of every row; the last two are those of the fit.
 
     The targets' sum is the tokens of all documents, or, with ``upsample``, as many as let every domain keep its own.
     """
     domains = fit_domains(docs, labelled, domain, key, text)
     members = materialize(posteriors(docs, domains, key, text), "posteriors")
     k = len(domains.names)
-    have = members.select([F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
-    have = np.array([float(v or 0) for v in have])
+    begin = sums(members, k, [], -np.inf)
+    have, _, parts = begin
     targets = target_totals(domains.names, weights, float(have.sum()))
-    if upsample and (targets > 0).any() and have.sum() > 0:
-        targets = targets * max(1.0, float((have[targets > 0] / targets[targets > 0]).max()))
-    moves, _ = fit_rates(members, targets, lowest)
+    if upsample and have.sum() > 0:
+        targets = targets / targets.sum() * reachable(parts, targets / targets.sum())
+    fit = fit_rates(members, targets, lowest, begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(3).flatten().to_numpy().reshape(-1, k)
             best = pa.array([domains.names[i] for i in p.argmax(axis=1)] if len(p) else [], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], best, batch.column(3), pa.array(replayed(p, moves, lowest))], names=["key", "h", "n_tokens", "domain", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], best, batch.column(3), pa.array(replayed(p, fit.moves, lowest))], names=["key", "h", "n_tokens", "domain", "posterior", "rate"])
 
     kind = members.schema["key"].dataType.simpleString()
     out = members.mapInArrow(run, f"key {kind}, h long, n_tokens long, domain string, posterior array<double>, rate double")
-    return out.withColumnRenamed("key", key)
+    return out.withColumnRenamed("key", key).withColumns({"residual": F.lit(fit.residual), "met": F.lit(fit.met)})
 
 
 def resampled(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
