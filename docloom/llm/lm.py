@@ -219,10 +219,11 @@ class Batch:
         self.place = np.arange(n) - np.repeat(self.first, self.sizes)
         self.taught = np.repeat(np.array(taught, bool), self.sizes)
         self.texts = sum(taught)
-        self.code = np.frombuffer(hashes, np.uint64)[grown(ids, n, np.uint32)]
-        codes, at = np.unique(np.append(self.code, START), return_inverse=True)
-        self.start = int(at[-1])
-        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: at[:-1]}, {}, {}
+        ids, words = grown(ids, n, np.uint32), np.frombuffer(hashes, np.uint64)
+        self.code = words[ids]
+        codes = np.sort(np.append(words, START))
+        self.start = int(np.searchsorted(codes, START))
+        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: np.searchsorted(codes, words)[ids]}, {}, {}
         self.extend(2, np.ones(n, bool))
 
     def before(self, k: int) -> np.ndarray:
@@ -269,9 +270,9 @@ class Batch:
 
     def histories(self, k: int, least: int) -> np.ndarray:
         """The places of the states of k tokens whose backoff weights the batch may need: each has training texts."""
-        places = np.unique(self.before(k))
-        places = places[places >= 0]
-        return places[self.counts[k][places] >= (least if k > 1 else 1)]
+        before, some = self.before(k), np.zeros(len(self.codes[k]), bool)
+        some[before[before >= 0]] = True
+        return np.flatnonzero(some & (self.counts[k] >= (least if k > 1 else 1)))
 
     def taken(self, k: int, least: int) -> tuple[np.ndarray, ...]:
         """By history of k tokens: numbers of arcs, their occurrences, and those without their first token, for arcs that
@@ -336,22 +337,22 @@ def asked(batches: DataFrame, buckets: int) -> DataFrame:
 def answered(role: int, bucket: int, held: list[tuple]) -> Iterator[tuple]:
     """What a bucket says about the messages of a role; ``held``: (batch, n, a, b, c, d)."""
     codes = np.concatenate([np.cumsum(grown(a, n, np.uint64), dtype=np.uint64) for _, n, a, *_ in held])
-    codes, first, place = np.unique(codes, return_index=True, return_inverse=True)
-    columns = range(3, 6) if role < 0 else range(3, 4)
-    sums = []
-    for j in columns:
-        to = np.zeros(len(codes), np.int64)
-        np.add.at(to, place, np.concatenate([grown(x[j], x[1]) for x in held]))
-        sums.append(to)
+    order = np.argsort(codes)
+    new = np.ones(len(codes), bool)
+    new[1:] = np.diff(codes[order]) > 0
+    starts = np.flatnonzero(new)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.cumsum(new) - 1
+    sums = [np.add.reduceat(np.concatenate([grown(x[j], x[1]) for x in held])[order], starts) for j in (range(3, 6) if role < 0 else range(3, 4))]
+    first = np.zeros(len(codes), np.uint8)
+    first[np.minimum.reduceat(order, starts)] = 1
     at = 0
     for x in held:
-        batch, n = x[0], x[1]
-        here = place[at : at + n]
-        more = [(first[here] == np.arange(at, at + n)).astype(np.uint8)] if role > 1 else []
-        yield message(bucket, role, batch, n, [*(s[here] for s in sums), *more])
-        at += n
+        here = slice(at, at + x[1])
+        yield message(bucket, role, x[0], x[1], [*(s[place[here]] for s in sums), *([first[here]] if role > 1 else [])])
+        at += x[1]
     if role == 1:
-        words = sums[0][codes != START]
+        words = sums[0][codes[order][starts] != START]
         for k, n in enumerate((words > 0, words == 1, words == 2)):
             yield message(bucket, role, -2 - k, int(n.sum()), [])
 
