@@ -9,9 +9,13 @@ Two texts that share a run of lines with over WORDS words share windows that cov
 ends, wherever it starts. A passage that occurs again anywhere in the corpus is removed everywhere but in the row with
 the smallest id, where its first occurrence stays. So each line stays somewhere: nothing earlier has it where it is first.
 
-Passages whose digest may repeat (told by a slot map of fixed size) are grouped by the SHA-256 of their bytes. Groups are
-pre-aggregated. The join back is by this digest; the passages that occur most, of which there are a bounded number, are
-joined by broadcast.
+Passages are told by 64-bit hashes first, and compared by their bytes before anything is removed:
+1. Passages whose hash may repeat (told by a slot map of fixed size) are written as hash and place, and grouped by hash
+   with map-side combination.
+2. Texts are joined with their passages of repeated hashes and written. Each task gathers the bytes of the hashes it meets,
+   and hashes that stand for different bytes are found by one aggregation.
+3. Passages of such hashes, which are few or none, are grouped again by their bytes.
+The passages that occur most are joined by broadcast, others by shuffle; both ways join the same columns.
 
 Defined cases: null texts stay null and count as empty; passages of white space only are never removed; of rows that share
 the smallest id all keep the passage's first occurrence; lines that repeat with a period of WORDS words or less are cut
@@ -21,8 +25,7 @@ cut; extra columns are passed through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ from docloom.llm.common import SLOTS, materialize, plain, repeated_slots, set_bi
 WINDOW, DIVISOR = 2, 3
 #: Words that a passage of any lines is to exceed.
 WORDS = 50
-#: Passages that are joined by broadcast, at most.
-HOT = 10_000
+#: Passages that are joined by broadcast, at most; bytes of passages that a task gathers at once.
+HOT, GATHERED = 10_000, 32 << 20
 SLICE = 256
 _TURN = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _ALL = 2**64 - 1
@@ -86,43 +89,108 @@ def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
             yield start, end - start, passage
 
 
-def _slot(digests: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join(digests), np.uint64)[::2] % np.uint64(SLOTS)).astype(np.int64)
+def _digests(passages: list[tuple[int, int, bytes]], digest: Callable[[bytes], int]) -> np.ndarray:
+    return np.fromiter((digest(c) for _, _, c in passages), np.uint64, len(passages))
 
 
-def chunk_slots(docs: DataFrame, text: str) -> DataFrame:
-    """(slot) of every passage's digest."""
+def chunk_slots(docs: DataFrame, text: str, digest: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """(slot) of every passage's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                found = [xxhash.xxh3_128_digest(c) for t in batch.column(0).slice(at, SLICE).to_pylist() for _, _, c in chunks(t)]
-                yield pa.RecordBatch.from_arrays([pa.array(_slot(found))], names=["slot"])
+                found = [_digests(list(chunks(t)), digest) for t in batch.column(0).slice(at, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) % np.uint64(SLOTS)).astype(np.int64))], names=["slot"])
 
     return docs.select(text_of(text).alias("text")).mapInArrow(run, "slot long")
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, h, ranges) with sorted ranges of lines joined where they overlap or touch."""
-    for batch in batches:
-        out = []
-        for ranges in batch.column(2).to_pylist():
-            one = []
-            for r in ranges:
-                if one and r["first"] <= one[-1]["first"] + one[-1]["n"]:
-                    one[-1]["n"] = max(one[-1]["n"], r["first"] + r["n"] - one[-1]["first"])
-                else:
-                    one.append(r)
-            out.append(one)
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["at", "h", "_gone"])
-
-
-def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated passages removed from ``text``, and n_lines, n_removed_lines."""
+def decided(found: DataFrame, by: list[str]) -> DataFrame:
+    """``found`` (at, h, first, n, *by) where ``by`` occurs more than once, each place once, with ``gone``: whether it is
+    not the first occurrence in the row with the smallest id."""
+    classes = found.groupBy(*by).agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    classes = materialize(classes, "classes")
+    # At most HOT passages have a HOT-th of the occurrences: these are joined by broadcast, so no task gets all rows of
+    # one of them.
+    often = F.col("times") >= found.count() / HOT
+    hot = F.broadcast(classes.filter(often).select(*by, F.col("owner").alias("hot_owner")))
+    marked = found.join(hot, by, "left")
+    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often).select(*by, "owner"), by)
+    columns = ["at", "h", "first", "n", *by]
+    rows = marked.filter("hot_owner IS NOT NULL").select(*columns, F.col("hot_owner").alias("owner")).unionAll(rest.select(*columns, "owner"))
+    # Rows that share id and text have the same places.
+    rows = rows.groupBy("at", "h", *by, "owner").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("places"))
+    rows = rows.select("at", "h", *by, "owner", F.posexplode("places").alias("k", "r"))
+    return rows.select("at", "h", "r.first", "r.n", *by, ((F.col("k") > 0) | (F.col("at") != F.col("owner"))).alias("gone"))
+
+
+def spelled(joined: DataFrame, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(at, h, first, n, d, c) of the places listed in ``joined`` (_at, _h, _list, text), c: bytes. Without ``only`` each
+    task gives different bytes of a hash once, as long as it holds them; with it (column d), all places of its hashes."""
+    wanted = None if only is None else {r.d for r in only.collect()}  # hashes that collide
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held = {}, 0
+        for batch in batches:
+            out = []
+            for at, h, places, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                lines = t.encode("utf-8", "surrogatepass").split(b"\n")
+                for r in places:
+                    if wanted is not None and r["d"] not in wanted:
+                        continue
+                    c = b"\n".join(lines[r["first"] : r["first"] + r["n"]])
+                    if wanted is None:
+                        if met.get(r["d"]) == c:
+                            continue
+                        met[r["d"]] = c
+                        held += len(c)
+                    out.append((at, h, r["first"], r["n"], r["d"], c))
+                    if held > GATHERED:
+                        met, held = {}, 0
+            if out:
+                kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["at", "h", "first", "n", "d", "c"])
+
+    rows = joined.filter("_list IS NOT NULL").select("_at", "_h", "_list", text_of(text).alias("t"))
+    return rows.mapInArrow(run, "at long, h long, first int, n int, d long, c binary")
+
+
+_PLACE = "struct<first int, n int, d long, gone boolean>"
+
+
+def listed(marked: DataFrame) -> DataFrame:
+    """(_at, _h, _list, _gone) of each text: its sorted places, and the lines that go as ranges that don't touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column(2).to_pylist():
+                ranges = []
+                for r in places:
+                    end = r["first"] + r["n"]
+                    if not r["gone"]:
+                        continue
+                    if ranges and r["first"] <= ranges[-1][0] + ranges[-1][1]:
+                        ranges[-1] = ranges[-1][0], max(ranges[-1][1], end - ranges[-1][0])
+                    else:
+                        ranges.append((r["first"], r["n"]))
+                out.append([{"first": s, "n": n} for s, n in ranges])
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=["_at", "_h", "_list", "_gone"])
+
+    places = F.array_sort(F.collect_list(F.struct("first", "n", "d", "gone"))).alias("_list")
+    rows = marked.groupBy(F.col("at").alias("_at"), F.col("h").alias("_h")).agg(places)
+    return rows.mapInArrow(run, f"_at long, _h long, _list array<{_PLACE}>, _gone array<struct<first int, n int>>")
+
+
+def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """The rows of ``docs`` with repeated passages removed from ``text``, and n_lines, n_removed_lines.
+
+    ``digest``: a hash of bytes in 64 bits; any gives the same result, as bytes are compared.
+    """
     given = docs.columns
     docs, (key, text) = plain(docs, key, text)
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_slots(chunk_slots(docs, text)))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_slots(chunk_slots(docs, text, digest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,46 +198,37 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
                 piece = batch.slice(at, SLICE)
                 found = []
                 for i, h, t in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                    passages, seen = list(chunks(t)), set()
-                    if not passages:
-                        continue
-                    keep = set_bits(shared.value, _slot([xxhash.xxh3_128_digest(c) for _, _, c in passages]))
-                    for k in np.flatnonzero(keep).tolist():
-                        first, n, c = passages[k]
-                        c = hashlib.sha256(c).digest()
-                        found.append((i, h, first, n, c in seen, c))
-                        seen.add(c)
+                    passages = list(chunks(t))
+                    if passages:
+                        d = _digests(passages, digest)
+                        keep = np.flatnonzero(set_bits(shared.value, (d % np.uint64(SLOTS)).astype(np.int64)))
+                        found += [(i, h, *passages[k][:2], x) for k, x in zip(keep.tolist(), d[keep].view(np.int64).tolist(), strict=True)]
                 if found:
-                    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()
-                    names = ["at", "h", "first", "n", "again", "chunk"]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+                    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["at", "h", "first", "n", "d"])
 
     at, h = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
     rows = docs.select(at.alias("at"), h.alias("h"), text_of(text).alias("text"))
-    found = rows.mapInArrow(run, "at long, h long, first int, n int, again boolean, chunk binary")
-    found = materialize(found, "chunks")
-    classes = found.groupBy("chunk").agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    classes = materialize(classes, "classes")
-    # At most HOT passages have a HOT-th of the occurrences: these are joined by broadcast, so no task gets all rows of
-    # one of them.
-    often = F.col("times") >= max(2.0, found.count() / HOT)
-    marked = found.join(F.broadcast(classes.filter(often).select("chunk", F.col("owner").alias("hot_owner"))), "chunk", "left")
-    rows = marked.filter("hot_owner IS NOT NULL").select("at", "h", "first", "n", "again", F.col("hot_owner").alias("owner"))
-    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often), "chunk")
-    gone = rows.unionAll(rest.select("at", "h", "first", "n", "again", "owner")).filter("again OR at != owner")
-    gone = gone.select("at", "h", F.struct("first", "n").alias("r")).distinct()
-    gone = gone.groupBy("at", "h").agg(F.array_sort(F.collect_list("r")).alias("_gone")).mapInArrow(merged, "at long, h long, _gone array<struct<first int, n int>>")
+    found = materialize(rows.mapInArrow(run, "at long, h long, first int, n int, d long"), "chunks")
 
     names = docs.columns
-    left = docs.select(*names, at.alias("_at"), h.alias("_h"))
-    gone = gone.select(F.col("at").alias("_at"), F.col("h").alias("_h"), "_gone")
-    joined = left.join(gone, ["_at", "_h"], "left")
+    texts = docs.select(*names, at.alias("_at"), h.alias("_h"))
+    joined = materialize(texts.join(listed(decided(found, ["d"])), ["_at", "_h"], "left"), "joined")
+    clash = spelled(joined, text).groupBy("d").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("d")
+    clash = materialize(clash, "clash")
+    if not clash.isEmpty():
+        exact = decided(materialize(spelled(joined, text, clash), "spelled"), ["d", "c"]).select("at", "h", "first", "n", "d", "gone")
+        kept = joined.select(F.col("_at").alias("at"), F.col("_h").alias("h"), F.explode("_list").alias("r")).select("at", "h", "r.*").distinct()
+        marked = kept.join(F.broadcast(clash), "d", "left_anti").select("at", "h", "first", "n", "d", "gone").unionByName(exact)
+        joined = materialize(joined.drop("_list", "_gone").join(listed(marked), ["_at", "_h"], "left"), "joined")
+
     lines = F.split(F.col(text), "\n")
     ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda r: r.first + r.n))
     starts = F.concat(F.transform("_gone", lambda r: r.first), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(ends, starts, lambda e, s: F.slice(lines, e + 1, s - e)))
     removed = F.aggregate("_gone", F.lit(0), lambda x, r: x + r.n)
-    out = [F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in names]
+    some = F.size("_gone") > 0
+    out = [F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in names]
     counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed_lines": F.coalesce(removed, F.lit(0))}
     counts = {k: v.cast("long") for k, v in counts.items() if k not in given}
     return joined.select(*out, *counts.values()).toDF(*given, *counts)
