@@ -216,14 +216,13 @@ class Batch:
         self.sizes = np.array(sizes, np.int64)
         n = int(self.sizes.sum())
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(n) - np.repeat(self.first, self.sizes)
         self.taught = np.repeat(np.array(taught, bool), self.sizes)
         self.texts = sum(taught)
         ids, words = grown(ids, n, np.uint32), np.frombuffer(hashes, np.uint64)
         self.code = words[ids]
         codes = np.sort(np.append(words, START))
         self.start = int(np.searchsorted(codes, START))
-        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: np.searchsorted(codes, words)[ids]}, {}, {}
+        self.codes, self.at, self.counts, self.flags = {1: codes}, {1: np.searchsorted(codes, words).astype(np.int32)[ids]}, {}, {}
         self.extend(2, np.ones(n, bool))
 
     def before(self, k: int) -> np.ndarray:
@@ -239,7 +238,7 @@ class Batch:
         some = some & (history >= 0)
         code = mixed(self.codes[k - 1][history[some]] * _TURN + self.code[some] + np.uint64(k))
         self.codes[k], place = np.unique(code, return_inverse=True)
-        self.at[k] = np.full(len(some), -1)
+        self.at[k] = np.full(len(some), -1, np.int32)
         self.at[k][some] = place
 
     def own(self, k: int) -> np.ndarray:
