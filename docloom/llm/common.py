@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Slots of a slot map: 2**26 bits are 8 MiB, whatever the input's size.
 SLOTS = 1 << 26
+#: Keys that are frequent at most.
+FREQUENT = 1_000
 #: Whether a query's shuffle files are removed at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -118,6 +120,18 @@ def bisected(column: str | Column, bounds: list) -> Column:
     return pick(0, len(bounds))
 
 
+def join_frequent(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, a written table with a row for each key and ``times``, its number of rows out of ``total``.
+
+    Keys with a FREQUENT-th of the rows or more, of which there are at most FREQUENT, are joined by broadcast, so no task
+    gets all rows of one; others are joined by shuffle.
+    """
+    often = F.col(times) >= total / FREQUENT
+    few = F.broadcast(keyed.filter(often).drop(times))
+    others = rows.join(few.select(*on), on, "left_anti").join(keyed.filter(~often).drop(times), on)
+    return rows.join(few, on).unionByName(others)
+
+
 def runs(batches, keys: int):
     """(key values, rows) for each run of equal values in the first ``keys`` integer columns; a run may come in parts."""
     for batch in batches:
@@ -136,6 +150,8 @@ def runs(batches, keys: int):
 def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None) -> DataFrame:
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
+    ``members`` is read several times, so it should be a written table.
+
     Members are dealt by their hash to ``ceil(members / size)`` tiles of their group. Without ``visitors``, there is a
     task for each pair of tiles: it gets the members of the first as homes (``role`` 0) and those of the second as
     visitors (``role`` 1), about ``2 * size`` rows; a tile's own members are compared in a task without visitors. With
@@ -143,8 +159,9 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int | Column,
     other behind the group's, is spread by all these and sorted so that homes come first.
     """
     tiles = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    tiles = tiles.withColumn("_tiles", F.ceil(F.col("_n") / size).cast("int")).drop("_n")
-    home = members.join(tiles, group).withColumn("_tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
+    tiles = materialize(tiles.withColumn("_tiles", F.ceil(F.col("_n") / size).cast("int")), "tiles")
+    total = tiles.agg(F.sum("_n")).first()[0] or 0
+    home = join_frequent(members, tiles, group, "_n", total).withColumn("_tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     if visitors is None:
         both = home.withColumn("_k", every).withColumns(
@@ -155,7 +172,7 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int | Column,
             }
         ).drop("_k", "_tile")
     else:
-        guests = visitors.join(tiles, group).withColumn("tile", every).withColumn("other", F.lit(0))
+        guests = join_frequent(visitors, tiles, group, "_n", total).withColumn("tile", every).withColumn("other", F.lit(0))
         both = home.withColumnRenamed("_tile", "tile").withColumns({"other": F.lit(0), "role": F.lit(0)}).unionByName(guests)
     first = [*group, "tile", "other", "role"]
     both = both.select(*first, *[c for c in both.columns if c not in first and c != "_tiles"])

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SLOTS, materialize, plain, repeated_slots, set_bits, text_of
+from docloom.llm.common import SLOTS, join_frequent, materialize, plain, repeated_slots, set_bits, text_of
 
 WINDOW, DIVISOR = 2, 3
 #: Words that a passage of any lines is to exceed.
 WORDS = 50
-#: Passages that are joined by broadcast, at most; bytes of passages that a task gathers at once.
-HOT, GATHERED = 10_000, 32 << 20
+#: Bytes of passages that a task gathers at once.
+GATHERED = 32 << 20
 SLICE = 256
 _TURN = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _ALL = 2**64 - 1
@@ -110,14 +110,8 @@ def decided(found: DataFrame, by: list[str]) -> DataFrame:
     not the first occurrence in the row with the smallest id."""
     classes = found.groupBy(*by).agg(F.min("at").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     classes = materialize(classes, "classes")
-    # At most HOT passages have a HOT-th of the occurrences: these are joined by broadcast, so no task gets all rows of
-    # one of them.
-    often = F.col("times") >= found.count() / HOT
-    hot = F.broadcast(classes.filter(often).select(*by, F.col("owner").alias("hot_owner")))
-    marked = found.join(hot, by, "left")
-    rest = marked.filter("hot_owner IS NULL").join(classes.filter(~often).select(*by, "owner"), by)
     columns = ["at", "h", "first", "n", *by]
-    rows = marked.filter("hot_owner IS NOT NULL").select(*columns, F.col("hot_owner").alias("owner")).unionAll(rest.select(*columns, "owner"))
+    rows = join_frequent(found, classes, by, "times", found.count()).select(*columns, "owner")
     # Rows that share id and text have the same places.
     rows = rows.groupBy("at", "h", *by, "owner").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("places"))
     rows = rows.select("at", "h", *by, "owner", F.posexplode("places").alias("k", "r"))

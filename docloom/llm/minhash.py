@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import id_slot, materialize, plain, set_bits, slot_map, text_of, tile_visits, tiled
+from docloom.llm.common import SLOTS, id_slot, materialize, plain, repeated_slots, set_bits, slot_map, text_of, tile_visits, tiled
 from docloom.llm.components import components
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
@@ -218,6 +218,27 @@ def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return labels
 
 
+def _banded(classes: DataFrame) -> DataFrame:
+    """(band, id, sig) of the band keys that two classes or more may have, told by a slot map of 8 MiB.
+
+    Keys are counted with map-side combination, so a frequent key is a row of each task. A key that is let through
+    although it has one class meets nothing.
+    """
+    keys = classes.select(F.explode("bands").alias("band")).select(F.pmod("band", F.lit(SLOTS)).alias("slot"))
+    shared = classes.sparkSession.sparkContext.broadcast(repeated_slots(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                bands = part.column(2).flatten().to_numpy()
+                kept = np.flatnonzero(set_bits(shared.value, bands % SLOTS))
+                rows = part.take(pa.array(kept // BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(bands[kept]), rows.column(0), rows.column(1)], names=["band", "id", "sig"])
+
+    return classes.select(F.col("rep").alias("id"), "sig", "bands").mapInArrow(run, "band long, id long, sig array<long>")
+
+
 def _clusters(members: DataFrame, least: int) -> DataFrame:
     """(id, component): candidates of band keys, ``members`` (band, id, sig), joined."""
 
@@ -311,11 +332,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = all_rows.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    w = Window.partitionBy("band")
-    members = banded.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1").drop("n")
-    members = members.join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("band", "id", "sig")
-    clusters = _clusters(materialize(members, "members"), least_agreement(percent))
+    clusters = _clusters(materialize(_banded(classes), "members"), least_agreement(percent))
     joined = components(_links(docs, key, text, clusters, percent))
 
     known = classes.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("id"), "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, scratch_path, text_of
+from docloom.llm.common import join_frequent, materialize, scratch_path, text_of
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_REVISIT = 100
@@ -41,9 +41,10 @@ def record_types(pages: DataFrame, key: str, url: str, payload: str) -> DataFram
     """(id, url, payload, digest, refers_to): which rows revisit another's payload; refers_to is null for responses."""
     rows = pages.select(F.col(key).cast("long").alias("id"), text_of(url).alias("url"), text_of(payload).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    ids = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("id", "digest")
+    ids = materialize(rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("id", "digest"), "ids")
     first = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
-    again = ids.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
+    again = join_frequent(ids, materialize(first, "first"), ["digest"], "n", ids.count())
+    again = again.filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
     again = again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
     return rows.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").drop("_id", "_digest")
 

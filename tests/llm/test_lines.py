@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from docloom.llm import linededup
+from docloom.llm import common, linededup
 
 
 def passages(text, words=50):
@@ -62,10 +62,10 @@ def documents():
     return texts | {100: None, 101: "", 102: "\n\n", 103: texts[3], 104: "\n".join(hot * 2), 105: "one\n" * 200, 106: "é " * 60 + "\n" + hot[0]}
 
 
-@pytest.mark.parametrize("hot", [10_000, 25, 0.5])
-def test_frequent_and_rare_passages(spark, monkeypatch, hot):
-    """HOT of 10,000: all are joined by broadcast; 25: the frequent ones; 0.5: none."""
-    monkeypatch.setattr(linededup, "HOT", hot)
+@pytest.mark.parametrize("most", [10_000, 25, 0.5])
+def test_frequent_and_rare_passages(spark, monkeypatch, most):
+    """10,000: all are joined by broadcast; 25: the frequent ones; 0.5: none."""
+    monkeypatch.setattr(common, "FREQUENT", most)
     texts = documents()
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, _list string")
     got = linededup.without_repeated_chunks(docs.repartition(4))
