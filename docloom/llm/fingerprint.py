@@ -30,7 +30,9 @@ from docloom.llm.common import SLOTS, bisected, materialize, repeated_slots, run
 #: Rows that are worked on together.
 SLICE = 512
 #: Mean characters of a range of ids, and ranges at most: beyond, ranges are longer; they are sorted with spilling and streamed.
-RANGE_CHARS, RANGES = 8_000_000, 4096
+RANGE_CHARS, RANGES = 8_000_000, 65_536
+#: Sampled ids for each range, and bounds that are looked up together.
+SAMPLED, BLOCK = 32, 256
 
 
 def canonical(text: str) -> bytes:
@@ -110,7 +112,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(part, id, text, guest): rows dealt by ranges of ids, sorted in each, followed by the next range's first row.
 
-    Range bounds are quantiles of the ids, about RANGE_CHARS characters apart. A range's successor is the least row of
+    Range bounds are quantiles of sampled ids, about RANGE_CHARS characters apart. A row finds its range among blocks of
+    bounds, then in its block. A range's successor is the least row of
     the next range that has one; the last range is followed by the first row of all. So each row's successor in the
     order of (id, text) is the row below it, and no task holds more than its range.
     """
@@ -119,19 +122,24 @@ def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.select(F.coalesce("id", F.lit(least)).alias("at"), "id", "text")
     total = rows.agg(F.sum(F.length("text").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).first()
     ranges = max(1, min(total.n, RANGES, round((total.c or 0) / RANGE_CHARS)))
-    bounds = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q if ranges > 1 else []
-    bounds = sorted(set(bounds or []))
-    rows = rows.select(bisected("at", bounds).cast("int").alias("part"), "id", "at", "text")
+    bounds = []
+    if ranges > 1:
+        some = np.sort(rows.select("at").sample(min(1.0, SAMPLED * ranges / total.n), 1).toArrow().column(0).to_numpy())
+        bounds = sorted({int(some[i * len(some) // ranges]) for i in range(1, ranges)}) if len(some) else []
+    blocks = [(a, bounds[a * BLOCK : (a + 1) * BLOCK]) for a in range(len(bounds) // BLOCK + 1)]
+    blocks = F.broadcast(docs.sparkSession.createDataFrame(blocks, "block int, bounds array<long>"))
+    rows = rows.withColumn("block", bisected("at", bounds[BLOCK - 1 :: BLOCK])).join(blocks, "block")
+    within = F.size(F.filter("bounds", lambda b: b < F.col("at")))
+    rows = rows.select((F.col("block") * BLOCK + within).cast("int").alias("part"), "id", "at", "text")
     firsts = rows.groupBy("part").agg(F.min("at").alias("at")).collect()  # a row for each range
     firsts = sorted((r.part, r.at) for r in firsts)
     if not firsts:
         return rows.select("part", "id", "text", F.lit(0).alias("guest"))
-    before = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}
-    lead = rows.filter(F.col("at").isin(list(before)))
+    before = [(at, firsts[i - 1][0]) for i, (_, at) in enumerate(firsts)]
+    before = F.broadcast(docs.sparkSession.createDataFrame(before, "at long, target int"))  # likewise
     # Of rows with the same least id the one with the least text.
-    lead = lead.groupBy("at", "id").agg(F.min("text").alias("text"))
-    target = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("at"))
-    lead = lead.select(target.cast("int").alias("part"), "id", "text", F.lit(1).alias("guest"))
+    lead = rows.join(before, "at").groupBy("at", "id", "target").agg(F.min("text").alias("text"))
+    lead = lead.select(F.col("target").alias("part"), "id", "text", F.lit(1).alias("guest"))
     both = rows.select("part", "id", "text", F.lit(0).alias("guest")).unionAll(lead)
     return both.repartition(max(len(firsts), 1), "part").sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "text")
 

@@ -87,3 +87,22 @@ def test_boxes_over_several_coordinates(spark, monkeypatch, slab):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicate_vectors(df.repartition(3)).collect()}
     assert got == {i: int(near[i].sum()) for i in range(260)} and near.sum() > 40
+
+
+def test_many_ranges_of_ids(spark, monkeypatch):
+    """More ranges than a block of bounds, and ids that repeat."""
+    from docloom.llm import fingerprint
+
+    monkeypatch.setattr(fingerprint, "RANGE_CHARS", 2)
+    monkeypatch.setattr(fingerprint, "BLOCK", 4)
+    rows = [(i * 7 % 101 - 20, "text " * (i % 4) + f"é{i}") for i in range(101)] + [(5, "again"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_likeness(docs.repartition(4)).collect()}
+    order = sorted(((i, t) for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    import hashlib
+
+    want = set()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want.add((i, len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
+    assert got == want
