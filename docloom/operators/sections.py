@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import normalized_block
+from docloom.functions.text import normalized_block, once
 
 HEADING = r"(?s)^(#{1,6})\s+(.+?)\s*\z"
 LEVELS = range(1, 7)
@@ -21,10 +21,15 @@ def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     A text without any body line is one untitled section of itself; an empty text has none. Texts without a heading
     are one section as they are and need no shuffle; only the others' lines are windowed.
     """
-    whole = docs.select(F.col(key).alias("key"), normalized_block(F.coalesce(F.col(text), F.lit(""))).alias("whole")).filter("whole != ''")
-    headed = F.regexp_like("whole", F.lit(r"(?m)^#{1,6}\s+\S"))
-    plain = whole.filter(~headed).select(F.col("key").alias(key), F.lit(0).alias("sec_ord"), F.lit("").alias("title"), F.col("whole").alias("body"))
-    return plain.unionByName(_headed_sections(whole.filter(headed)).withColumnRenamed("key", key))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        rows = once(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), whole=normalized_block(F.coalesce("text", F.lit(""))))
+        return once(rows.drop("text"), headed=F.regexp_like("whole", F.lit(r"(?m)^#{1,6}\s+\S"))).filter("whole != ''")
+
+    plain = blocks(docs).filter("NOT headed").select(F.col("key").alias(key), F.lit(0).alias("sec_ord"), F.lit("").alias("title"), F.col("whole").alias("body"))
+    # Texts without a # are left out before anything is computed.
+    headed = blocks(docs.filter(F.contains(text, F.lit("#")))).filter("headed").select("key", "whole")
+    return plain.unionByName(_headed_sections(headed).withColumnRenamed("key", key))
 
 
 def _headed_sections(whole: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def _headed_sections(whole: DataFrame) -> DataFrame:
         F.max("title").alias("title"),
         F.max("whole").alias("whole"),
     )
-    body = body.withColumn("body", normalized_block(F.array_join(F.transform("rows", lambda r: r.line), "\n")))
+    body = once(body.drop("body"), body=normalized_block(F.array_join(F.transform("rows", lambda r: r.line), "\n"))).drop("rows")
     per_key = Window.partitionBy("key")
     body = body.withColumn("bodies", F.sum((F.col("body") != "").cast("int")).over(per_key)).filter("body != '' OR bodies = 0")
     body = body.withColumn("sec_ord", F.row_number().over(per_key.orderBy("section")) - 1).filter("bodies > 0 OR sec_ord = 0")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.lexical import ranked
+from docloom.operators.running import RunningTop
 
 #: Queries that are held by a task at once.
 QUERY_BLOCK = 2048
@@ -35,10 +36,11 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, key, score, rank): each query's ``k`` most similar rows of ``vectors``; ties by key.
 
-    Queries (columns ``query`` and ``vector``) come in blocks of QUERY_BLOCK; of a block, each task keeps the best ``k``
-    of every batch, so no pair beyond these leaves a task. Scores are rounded to six decimals before ranking.
+    Queries (columns ``query`` and ``vector``) come in blocks of QUERY_BLOCK; a task keeps each query's best ``k`` while
+    its rows go by, so no pair beyond these leaves it. Scores are rounded to six decimals before ranking. Queries whose
+    vector is null have no rows.
     """
-    wanted = queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = queries.filter(F.col(vector).isNotNull()).select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     out, block = None, []
 
     def found(rows: list) -> DataFrame:
@@ -51,7 +53,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, table = held.value
-            lengths = np.sqrt((table * table).sum(axis=1))
+            lengths, top = np.sqrt((table * table).sum(axis=1)), RunningTop(len(ids), k)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
@@ -64,11 +66,9 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
                     score = x[:, : table.shape[1]] @ table.T
                     length = norms[:, None] * lengths
                     score = np.where(length == 0, 0.0, score / np.where(length == 0, 1.0, length)).round(6)
-                    best = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:k]
-                    q = np.broadcast_to(ids, best.shape)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q.ravel()), pa.array(keys[best].ravel()), pa.array(np.take_along_axis(score, best, axis=0).ravel())], names=["query", "key", "score"]
-                    )
+                    top.add(score, keys.tolist())
+            q, keys, scores = top.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(q, np.int64)], pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.float64())], names=["query", "key", "score"])
 
         rows_ = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
         return rows_.mapInArrow(run, "query long, key long, score double")

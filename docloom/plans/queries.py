@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import chunking, evidence, html, lexical, rerank, sections, taskspec, vectors
 from docloom.sources import documents
+from docloom.sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,6 +173,20 @@ def markdown_sections(spark, sf_dir):
     "SELECT substring(md5(conv_id::VARCHAR || ':' || idx), 1, 12) AS chunk_id, conv_id::VARCHAR AS source, conv_id, idx::INTEGER AS idx, text FROM n WHERE length(text) >= 50"
 )
 def section_chunks(spark, sf_dir):
+    """Windows keep white space behind the title."""
+    return chunking.chunk_sections(sections.text_sections(_markdown(spark, sf_dir), "conv_id", "md"), "conv_id", strip_pieces=False)
+
+
+@registered(
+    f"WITH {SECTIONS}, p AS (SELECT *, 'Section: ' || title || chr(10) AS prefix FROM sections), "
+    "c AS (SELECT conv_id, sec_ord, prefix, body, 1200 - length(prefix) AS size FROM p), "
+    "w AS (SELECT conv_id, sec_ord, prefix, i, substring(body, (i * (size - 200) + 1)::BIGINT, size) AS piece FROM (SELECT *, "
+    "unnest(range(0, 1 + greatest(0, ceil((length(body) - size) / (size - 200)::DOUBLE))::BIGINT)) AS i FROM c)), "
+    r"n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY sec_ord, i) - 1 AS idx, regexp_replace(prefix || regexp_replace(piece, '^\s+|\s+$', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM w) "
+    "SELECT substring(md5(conv_id::VARCHAR || ':' || idx), 1, 12) AS chunk_id, conv_id::VARCHAR AS source, conv_id, idx::INTEGER AS idx, text FROM n WHERE length(text) >= 50"
+)
+def titled_chunks(spark, sf_dir):
+    """Windows are stripped before the title is put before them, as an index has them."""
     return chunking.chunk_sections(sections.text_sections(_markdown(spark, sf_dir), "conv_id", "md"), "conv_id")
 
 
@@ -246,6 +261,14 @@ def broad_topn(spark, sf_dir):
     return lexical.ranked(m.filter("broad > 0"), "item_id", "broad", "doc_id", lexical.broad_budget(6), "r")
 
 
+@registered(f"WITH {BROAD.replace('{n}', '2000')} SELECT item_id, doc_id, broad, r::INTEGER AS r FROM broad")
+def broad_filled(spark, sf_dir):
+    """The broad stage with chunks that score 0 behind the others."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.broad_top(queries, docs, 2000, chunk="doc_id").withColumnsRenamed({"query": "item_id", "chunk": "doc_id"})
+
+
 @registered(f"SELECT item_id, doc_id, round({BONUS.replace('qtext', 'b.text').replace('lower(text)', 'lower(d.text)')}, 6) AS bonus FROM benchmark b CROSS JOIN (SELECT * FROM documents WHERE doc_id = 0) d")
 def keyword_bonus(spark, sf_dir):
     one = table(spark, sf_dir, "documents").filter("doc_id = 0").select("doc_id", F.col("text").alias("t"))
@@ -599,7 +622,27 @@ def request_bounds(spark, sf_dir):
 )
 def flagship(spark, sf_dir):
     """Documents to chunks to lexical top-6 to evidence, for one benchmark item."""
-    chunks = _document_chunks(spark, sf_dir)
+    chunks = materialize(_document_chunks(spark, sf_dir), "chunks")
     queries = table(spark, sf_dir, "benchmark").filter("item_id = 3").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
     hits = lexical.lexical_top(queries, chunks, 6, chunk="chunk_id").join(chunks.withColumnRenamed("chunk_id", "chunk"), "chunk")
     return evidence.evidence(hits).select("rank", "source", "score", "snippet")
+
+
+@registered(
+    f"WITH c AS ({CHUNKS}), tok AS (SELECT chunk_id, {TOKENS.format('text')} AS t, text FROM c), size AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM tok), "
+    f"q AS (SELECT item_id, {TOKENS.format('text')} AS qt, text AS qtext FROM benchmark), "
+    "qterm AS (SELECT item_id, token, nq, count(*) AS qtf FROM (SELECT item_id, unnest(qt) AS token, len(list_distinct(qt)) AS nq FROM q) GROUP BY ALL), "
+    "tf AS (SELECT chunk_id, len, token, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS token FROM tok) GROUP BY ALL), "
+    "df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), "
+    "m AS (SELECT item_id, chunk_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(1.0, avg_len)))) AS bm25, "
+    "count(*) / greatest(1, max(nq))::DOUBLE AS overlap FROM qterm JOIN tf USING (token) JOIN df USING (token), size GROUP BY item_id, chunk_id), "
+    "b AS (SELECT c.*, q.item_id, qtext, round(coalesce(0.7 * bm25 + 0.3 * overlap, 0), 6) AS broad, row_number() OVER (PARTITION BY q.item_id ORDER BY broad DESC, c.chunk_id) AS r FROM c CROSS JOIN q LEFT JOIN m ON m.chunk_id = c.chunk_id AND m.item_id = q.item_id QUALIFY r <= 30), "
+    f"s AS (SELECT *, round(broad + {BONUS}, 6) AS s, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id)::INTEGER AS rank FROM b QUALIFY rank <= 6) "
+    "SELECT item_id, rank, source, round(s, 4) AS score, substring(text, 1, 180) AS snippet FROM s"
+)
+def chunk_retrieval(spark, sf_dir):
+    """The same for all benchmark items."""
+    chunks = materialize(_document_chunks(spark, sf_dir), "chunks")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    hits = lexical.lexical_top(queries, chunks, 6, chunk="chunk_id").join(chunks.withColumnRenamed("chunk_id", "chunk"), "chunk")
+    return evidence.evidence(hits).select(F.col("query").alias("item_id"), "rank", "source", "score", "snippet")
