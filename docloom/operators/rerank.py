@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,55 @@ def parsed_response(responses: DataFrame, query: str = "query", body: str = "bod
     return rows.select("query", "ord", F.coalesce("i.index", "i.document_index").alias("index"), F.coalesce("i.relevance_score", "i.score").alias("score"))
 
 
+def strict_items(body: str, top_n: int) -> list[tuple[int, int, float]]:
+    """(ord, index, score) of a rerank response's first ``top_n`` items by score; ValueError if any item is malformed."""
+    data = json.loads(body)
+    lists = [data.get(k) for k in ("results", "data")] if isinstance(data, dict) else []
+    items = next((x for x in lists if isinstance(x, list) and x), None)
+    if items is None:
+        raise ValueError("rerank response has no list of items")
+    out = []
+    for n, item in enumerate(items):
+        if not isinstance(item, dict):
+            raise ValueError(f"rerank item {n} is not an object")
+        index, score = item.get("index", item.get("document_index")), item.get("relevance_score", item.get("score"))
+        if not isinstance(index, int):
+            raise ValueError(f"rerank item {n} has no integer index")
+        if not isinstance(score, (int, float)):
+            raise ValueError(f"rerank item {n} has no numeric score")
+        out.append((n, index, float(score)))
+    return sorted(out, key=lambda x: -x[2])[: max(1, top_n)]
+
+
+def called(candidates: DataFrame, queries: DataFrame, reranker: Callable[[str, list[str], int], str], budget: int) -> DataFrame:
+    """(query, ord, index, score, error): what ``reranker`` says of each query's candidates, called inside tasks.
+
+    ``candidates``: (query, ord, text); ``queries``: (query, query_text). A call that fails, a malformed response and one
+    without an index in range give one row with an error. Write the result before it is used twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for query, text, texts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                texts = [t["text"] for t in texts]
+                top_n = min(len(texts), budget)
+                try:
+                    items = strict_items(reranker(text, texts, top_n), top_n)
+                    if not any(0 <= i < len(texts) for _, i, _ in items):
+                        raise ValueError("rerank returned no usable entries")
+                    out += [(query, *item, None) for item in items]
+                except Exception as e:  # whatever the service does is its failure
+                    out.append((query, None, None, None, str(e) or type(e).__name__))
+            kinds = pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.string()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["query", "ord", "index", "score", "error"])
+
+    texts = candidates.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("texts"))
+    rows = queries.select(F.col("query").cast("long").alias("query"), "query_text").join(texts, "query")
+    return rows.mapInArrow(run, "query long, ord int, index long, score double, error string")
+
+
 def resolved(items: DataFrame, candidates: DataFrame, top_k: int, budget: int) -> DataFrame:
     """(query, rank, *candidate columns, score): items in order of score, looked up by position among the candidates.
 

@@ -13,6 +13,7 @@ PLANS = {
     "dac_sfdr": ("1) 配置瞬态与采样 2) 执行FFT 3) 计算主瓣与最大杂散差值", "sfdr_db", "通过FFT频谱识别主信号与最大杂散分量"),
     "amp_loop_gain": ("1) 构建环路增益测试 2) 扫频或stb分析 3) 提取低频环路增益", "loop_gain_db", "通过环路断开或stb方式计算环路增益"),
 }
+# Parameters that are used where none can be read, and what names of nodes, commands and modules look like.
 DEFAULTS = {"input_node": "vin", "output_node": "vout", "start_hz": 1.0, "stop_hz": 1e9, "points": 200, "target_gain_db": -3.0}
 NODE, COMMAND, MODULE = r"^[A-Za-z_][A-Za-z0-9_.$:-]*$", r"^[A-Za-z0-9._+-]+$", r"^[A-Za-z_][A-Za-z0-9_.]*$"
 # What a result can be refused for, in the order of the checks.
@@ -25,6 +26,7 @@ RESULT_ERRORS = [
     "result.json missing notes list",
     "PASS result must have bandwidth_hz > 0",
 ]
+# Parts of the messages of errors that may pass.
 RETRYABLE = [
     "service load is too high", "badrequest.toolarge", "too many requests", "rate limit",
     "timed out", "timeout", "temporarily unavailable", "api urlerror",
@@ -120,8 +122,28 @@ def result_error(payload: str | Column) -> Column:
     return out
 
 
+#: What chat clients are told: how to answer with a script, and with parameters.
+SCRIPT_PROMPT = (
+    "You write one Python script that measures a circuit. Answer with its source only, without fences or explanations. "
+    "Use the standard library, define run_test() -> dict with status, metrics and notes, and write result.json."
+)
+PARAMETER_PROMPT = f"You read parameters from a request. Answer with one JSON object with the keys {', '.join(DEFAULTS)}, and nothing else."
+
+
+def script_request(query: str, circuit: str, kind: str, metric: str, method: str, plan: str, context: str) -> str:
+    """The request for a script, with its evidence."""
+    return f"Request: {query}\nCircuit: {circuit or 'not described'}\nTest: {kind}\nMetric: {metric}\nMethod: {method}\nPlan: {plan}\nEvidence:\n{context}"
+
+
+def parameter_request(query: str, circuit: str, context: str) -> str:
+    """The request for parameters, with its evidence."""
+    return f"Request: {query}\nCircuit: {circuit or 'not described'}\nEvidence:\n{context}\nUse the defaults {DEFAULTS} for what isn't said."
+
+
 SCRIPT = """import json
 
+EVIDENCE_SOURCES = {sources!r}
+
 
 def main(simulate):
     # simulate(start, stop, points) returns (frequency, gain in dB) pairs between the two nodes.
@@ -136,9 +158,10 @@ def main(simulate):
 """
 
 
-def sweep_script(parameters: dict) -> str:
-    """Source of a bandwidth measurement with the given parameters (keys of DEFAULTS). It is text and never run here."""
-    return SCRIPT.format(**(DEFAULTS | parameters))
+def sweep_script(parameters: dict, sources: list[str] | None = None) -> str:
+    """Source of a bandwidth measurement with the given parameters (keys of DEFAULTS) and the sources of its evidence. It is
+    text and never run here."""
+    return SCRIPT.format(sources=list(sources or []), **(DEFAULTS | parameters))
 
 
 def retryable(message: str | Column) -> Column:

@@ -38,10 +38,12 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
 
     Queries (columns ``query`` and ``vector``) come in blocks of QUERY_BLOCK; a task keeps each query's best ``k`` while
     its rows go by, so no pair beyond these leaves it. Scores are rounded to six decimals before ranking. Queries whose
-    vector is null have no rows.
+    vector is null have no rows. Keys are integers or strings.
     """
     wanted = queries.filter(F.col(vector).isNotNull()).select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     out, block = None, []
+    kind = "string" if vectors.schema[key].dataType.simpleString() == "string" else "long"
+    held_kind = pa.string() if kind == "string" else pa.int64()
 
     def found(rows: list) -> DataFrame:
         ids = np.array([r.q for r in rows], np.int64)
@@ -57,7 +59,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
-                    keys = part.column(0).to_numpy()
+                    keys = part.column(0).to_pylist()
                     lists = part.column(1)
                     size = np.diff(lists.offsets.to_numpy())
                     x = np.zeros((len(keys), max(table.shape[1], int(size.max(initial=0)))))
@@ -66,12 +68,12 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
                     score = x[:, : table.shape[1]] @ table.T
                     length = norms[:, None] * lengths
                     score = np.where(length == 0, 0.0, score / np.where(length == 0, 1.0, length)).round(6)
-                    top.add(score, keys.tolist())
+                    top.add(score, keys)
             q, keys, scores = top.rows()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(q, np.int64)], pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.float64())], names=["query", "key", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(q, np.int64)], pa.int64()), pa.array(keys, held_kind), pa.array(scores, pa.float64())], names=["query", "key", "score"])
 
-        rows_ = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-        return rows_.mapInArrow(run, "query long, key long, score double")
+        rows_ = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        return rows_.mapInArrow(run, f"query long, key {kind}, score double")
 
     for row in wanted.toLocalIterator():
         block.append(row)
@@ -80,7 +82,7 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
     if block:
         out = found(block) if out is None else out.unionAll(found(block))
     if out is None:
-        return vectors.sparkSession.createDataFrame([], "query long, key long, score double, rank int").withColumnRenamed("key", key)
+        return vectors.sparkSession.createDataFrame([], f"query long, key {kind}, score double, rank int").withColumnRenamed("key", key)
     return ranked(out, "query", "score", "key", k).withColumnRenamed("key", key)
 
 

@@ -28,6 +28,14 @@ class ModelError(RuntimeError):
     """A failed call of a model."""
 
 
+def model_failure(error: BaseException) -> str | None:
+    """What a model's failure says, raised here or inside a task; None for any other error."""
+    if isinstance(error, ModelError):
+        return str(error)
+    said = re.findall(r"ModelError: (.*)", str(error))
+    return said[-1] if said else None
+
+
 class JsonClient:
     """GET and POST of JSON with a bearer token; embeddings, chat, rerank and model lists of an OpenAI-like service."""
 
@@ -45,6 +53,10 @@ class JsonClient:
             raise ModelError(f"API HTTPError {e.code}: {e.read().decode('utf-8', 'ignore')}") from e
         except urllib.error.URLError as e:
             raise ModelError(f"API URLError: {e.reason}") from e
+        except TimeoutError as e:
+            raise ModelError("API timed out") from e
+        except ValueError as e:
+            raise ModelError(f"API answer is not JSON: {e}") from e
 
     def models(self) -> dict:
         return self.call("/models")

@@ -1,4 +1,4 @@
-"""Engine settings, read per session from a mapping (by default the environment)."""
+"""Engine settings, read per session from a settings file and a mapping (by default the environment)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
+from docloom.sources.documents import read_settings
+
 
 @dataclass(frozen=True)
 class Settings:
-    """Folders, embedding and reranking. Keys fall back as described at ``from_mapping``."""
+    """Folders, models, reranking and how scripts would be run. Keys fall back as described at ``from_mapping``."""
 
     resource_dir: str = "Resource"
     work_dir: str = "./workdir"
@@ -28,6 +32,17 @@ class Settings:
     rerank_base: str = ""
     rerank_key: str = ""
     rerank_factor: int = 4
+    vision_model: str = ""
+    execution_mode: str = "local"
+    local_bashrc: str = "~/.bashrc"
+    remote_bashrc: str = "~/.bashrc"
+    required_commands: str = "python"
+    required_modules: str = ""
+    ssh_host: str = "127.0.0.1"
+    ssh_user: str = ""
+    ssh_port: int = 22
+    ssh_key_path: str = ""
+    remote_work_dir: str = ""
 
     @classmethod
     def from_mapping(cls, env: Mapping[str, str] | None = None) -> Settings:
@@ -42,4 +57,21 @@ class Settings:
             int(get("EMBEDDING_BATCH_SIZE", "10")), int(get("EMBEDDING_RETRY_COUNT", "4")), float(get("EMBEDDING_RETRY_DELAY_SEC", "1.0")),
             get("RERANK_ENABLED", "true").strip().lower() in ("1", "true", "yes", "on"), get("RERANK_MODEL_TEXT"),
             get("RERANK_API_BASE") or base, get("RERANK_API_KEY") or embedding_key, int(get("RERANK_TOPN_FACTOR", "4")),
+            get("EMBEDDING_MODEL_VISION"), get("RAG_EXECUTION_MODE", "local"), get("RAG_LOCAL_BASHRC", "~/.bashrc"), get("RAG_REMOTE_BASHRC", "~/.bashrc"),
+            get("RAG_TED_REQUIRED_COMMANDS", "python"), get("RAG_TED_REQUIRED_PY_MODULES"), get("RAG_SSH_HOST", "127.0.0.1"), get("RAG_SSH_USER"),
+            int(get("RAG_SSH_PORT", "22")), get("RAG_SSH_KEY_PATH"), get("RAG_REMOTE_WORK_DIR"),
         )
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str = ".env", env: Mapping[str, str] | None = None) -> Settings:
+        """``from_mapping`` with the lines of a settings file over ``env``; no file, no change."""
+        env = dict(os.environ if env is None else env)
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if ":" in path else f"file://{os.path.abspath(path)}")
+        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            env |= read_settings(spark, there.toString())
+        return cls.from_mapping(env)
+
+    def echo(self) -> dict[str, str | bool]:
+        """All settings, of keys only whether they are set."""
+        secret = lambda k: k.endswith("_key")
+        return {f"{k}_set" if secret(k) else k: bool(v) if secret(k) or isinstance(v, bool) else str(v) for k, v in vars(self).items()}

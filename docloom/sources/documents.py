@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import decoded, stripped
@@ -21,6 +23,12 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return reader.option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(root)
 
 
+def chunk_order(path: str, index: str) -> Column:
+    """A string that sorts chunks by their document's suffix, its path, and their number."""
+    suffix = F.array_position(F.array(*[F.lit(s) for s in SUFFIXES]), F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.concat(suffix.cast("string"), F.lit("\x01"), path, F.lit("\x01"), F.lpad(F.col(index).cast("string"), 10, "0"))
+
+
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, doc_ord, text, length, modificationTime): decoded documents; doc_ord sorts by suffix, then path."""
     suffix = F.array_position(F.array(*[F.lit(s) for s in SUFFIXES]), F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -38,22 +46,32 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return each.agg(F.sha2(together, 256).alias("fingerprint"))
 
 
-def settings_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(key, value) of KEY=VALUE lines; blank lines, comments and lines without = are skipped.
+def settings_lines(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, value, *keep) of KEY=VALUE lines; blank lines, comments and lines without = are skipped.
 
     Keys and values are stripped; all double, then all single quotes around a value go.
     """
-    rows = lines.select(stripped(line).alias("l")).filter("l != '' AND NOT startswith(l, '#') AND contains(l, '=')")
+    rows = lines.select(stripped(line).alias("l"), *keep).filter("l != '' AND NOT startswith(l, '#') AND contains(l, '=')")
     parts = F.split("l", "=", 2)
     value = stripped(parts[1])
     for quote in ('"', "'"):
         value = F.regexp_replace(value, f"^{quote}+|{quote}+$", "")
-    return rows.select(stripped(parts[0]).alias("key"), value.alias("value"))
+    return rows.select(stripped(parts[0]).alias("key"), value.alias("value"), *keep)
 
 
 def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
-    """A settings file as a dict; later lines win."""
-    return {r.key: r.value for r in settings_lines(spark.read.text(path)).collect()}
+    """A settings file as a dict; later lines win. Read by the file system, as Spark's readers skip names like ``.env``."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    stream = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(there)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    lines = [(n, x) for n, x in enumerate(text.split("\n"))]
+    numbered = spark.createDataFrame(lines, "n int, value string")
+    rows = settings_lines(numbered, "value", ["n"]).collect()
+    return {r.key: r.value for r in sorted(rows, key=lambda r: r.n)}
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
