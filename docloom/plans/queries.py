@@ -190,23 +190,72 @@ def titled_chunks(spark, sf_dir):
     return chunking.chunk_sections(sections.text_sections(_markdown(spark, sf_dir), "conv_id", "md"), "conv_id")
 
 
-@registered()
+# Pages as SQL sees them: tags and texts as events; depths and open tags as running sums, a closing tag ending the
+# innermost open one; each stream (all that is visible, main content) cut at headings; texts joined by what lies between.
+UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+INLINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+BREAKS = "('" + "', '".join(sorted(html.BREAKING)) + "')"
+NOISY = "(tag IN ('" + "', '".join(sorted(html.NOISE_TAGS)) + "') OR " + " OR ".join(f"contains(blob, '{m}')" for m in html.NOISE) + ")"
+MAINLY = "(tag IN ('" + "', '".join(sorted(html.MAIN_TAGS)) + "') OR " + " OR ".join(f"contains(blob, '{m}')" for m in html.MAIN) + ")"
+TITLES = "list_filter([" + ", ".join(f"CASE WHEN h{k}.l = {k} THEN h{k}.t ELSE '' END" for k in range(1, 7)) + "], lambda x: x <> '')"
+PAGE_SQL = (
+    "src AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<![^>]*>', '', 'g'), '(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\\1\\2', 'gs') AS h FROM pages WHERE html IS NOT NULL), "
+    "tok AS (SELECT page_id, unnest(x) AS tok, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS x FROM src)), "
+    r"ev AS (SELECT page_id, n, tok, CASE WHEN tok LIKE '</%' THEN 2 WHEN tok LIKE '<%' THEN 1 ELSE 0 END AS kind, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, "
+    r"""lower(concat_ws(' ', regexp_extract(tok, '\sid="([^"]*)"', 1), regexp_extract(tok, '\sclass="([^"]*)"', 1), regexp_extract(tok, '\srole="([^"]*)"', 1), regexp_extract(tok, '\saria-label="([^"]*)"', 1))) AS blob FROM tok), """
+    "su AS (SELECT *, sum(CASE kind WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER w AS s FROM ev WINDOW w AS (PARTITION BY page_id ORDER BY n)), "
+    "de AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY n)) AS depth, s = min(s) OVER (PARTITION BY page_id ORDER BY n) AND s < 0 AND kind = 2 "
+    "AND s < coalesce(min(s) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unmatched FROM su), "
+    f"spots AS (SELECT page_id, n, depth, {NOISY} AS noisy, {MAINLY} AS mainly FROM de WHERE kind = 1 AND ({NOISY} OR {MAINLY})), "
+    "spans AS (SELECT a.page_id, a.n AS b, coalesce(min(d.n), 1000000000) AS e, any_value(a.noisy) AS noisy, any_value(a.mainly) AS mainly FROM spots a LEFT JOIN de d ON d.page_id = a.page_id AND d.n > a.n AND d.depth < a.depth GROUP BY a.page_id, a.n), "
+    "shown AS (SELECT de.page_id, de.n, any_value(kind) AS kind, any_value(tag) AS tag, any_value(tok) AS tok, coalesce(bool_or(spans.mainly), false) AS main FROM de LEFT JOIN spans ON spans.page_id = de.page_id AND de.n BETWEEN b AND e "
+    "WHERE NOT unmatched GROUP BY de.page_id, de.n HAVING NOT coalesce(bool_or(spans.noisy), false)), "
+    "st AS (SELECT page_id, 'every' AS stream, n, kind, tag, tok FROM shown UNION ALL SELECT page_id, 'main', n, kind, tag, tok FROM shown WHERE main), "
+    f"tx AS (SELECT *, CASE WHEN kind = 0 THEN {INLINE.format(UNESCAPED.format(UNESCAPED.format('tok')))} ELSE '' END AS t, CASE WHEN kind > 0 AND regexp_full_match(tag, 'h[1-6]') THEN substring(tag, 2, 1)::INTEGER END AS l FROM st), "
+    "hd AS (SELECT *, sum(CASE WHEN kind = 1 AND l IS NOT NULL THEN 1 ELSE 0 END) OVER w AS sec, coalesce(last_value(CASE WHEN l IS NOT NULL THEN kind END IGNORE NULLS) OVER w, 2) = 1 AS heading "
+    "FROM tx WINDOW w AS (PARTITION BY page_id, stream ORDER BY n)), "
+    "ht AS (SELECT page_id, stream, sec, string_agg(t, ' ' ORDER BY n) FILTER (WHERE kind = 0 AND t <> '' AND heading) AS title, min(l) FILTER (WHERE kind = 2 AND l IS NOT NULL) AS l FROM hd GROUP BY ALL), "
+    + "ti AS (SELECT page_id, stream, sec, array_to_string("
+    + TITLES
+    + ", ' > ') AS title FROM (SELECT page_id, stream, sec, "
+    + ", ".join(f"last_value(CASE WHEN l <= {k} AND title <> '' THEN {{'l': l, 't': title}} END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7))
+    + " FROM ht WINDOW w AS (PARTITION BY page_id, stream ORDER BY sec))), "
+    + f"bt AS (SELECT *, sum(CASE WHEN kind > 0 AND tag IN {BREAKS} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, stream, sec ORDER BY n) AS breaks FROM hd), "
+    + "bl AS (SELECT *, breaks <> lag(breaks) OVER (PARTITION BY page_id, stream, sec ORDER BY n) AS fresh FROM bt WHERE kind = 0 AND t <> '' AND NOT heading), "
+    + "bo AS (SELECT page_id, stream, sec, string_agg(CASE WHEN fresh IS NULL THEN t WHEN fresh THEN chr(10) || t ELSE ' ' || t END, '' ORDER BY n) AS body FROM bl GROUP BY ALL), "
+    + "al AS (SELECT page_id, stream, (row_number() OVER (PARTITION BY page_id, stream ORDER BY sec) - 1)::INTEGER AS sec_ord, title, body FROM bo JOIN ti USING (page_id, stream, sec)), "
+    + "ml AS (SELECT page_id, sum(length(body))::BIGINT AS main_text_len FROM al WHERE stream = 'main' GROUP BY page_id), "
+    + "sections AS (SELECT page_id, sec_ord, title, body, coalesce(main_text_len, 0) AS main_text_len FROM al LEFT JOIN ml USING (page_id) WHERE (stream = 'main') = (main_text_len IS NOT NULL))"
+)
+
+
+@registered(f"WITH {PAGE_SQL} SELECT * FROM sections")
 def html_sections(spark, sf_dir):
     return html.html_sections(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-@registered()
+@registered(
+    f"WITH {PAGE_SQL}, p AS (SELECT page_id, sec_ord, {NORM.format('body')} AS body, CASE WHEN title <> '' THEN 'Section: ' || title || chr(10) ELSE '' END AS prefix FROM sections), "
+    "c AS (SELECT *, greatest(200, 1200 - length(prefix)) AS size, greatest(greatest(200, 1200 - length(prefix)) - 200, 200) AS step FROM p), "
+    "w AS (SELECT page_id, sec_ord, prefix, i, substring(body, (i * step + 1)::BIGINT, size) AS piece FROM (SELECT *, "
+    "unnest(range(0, 1 + greatest(0, ceil((length(body) - size) / step::DOUBLE))::BIGINT)) AS i FROM c)), "
+    r"n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY sec_ord, i) - 1 AS idx, regexp_replace(prefix || regexp_replace(piece, '^\s+|\s+$', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM w) "
+    "SELECT substring(md5(page_id::VARCHAR || ':' || idx), 1, 12) AS chunk_id, page_id::VARCHAR AS source, page_id, idx::INTEGER AS idx, text FROM n WHERE length(text) >= 50"
+)
 def html_chunks(spark, sf_dir):
     return chunking.chunk_sections(html.html_sections(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
 
 
-@registered()
+@registered(f"WITH {PAGE_SQL} SELECT page_id, count(*) AS n_sections, max(main_text_len) AS main_text_len FROM sections GROUP BY page_id")
 def html_main_stats(spark, sf_dir):
     found = html.html_sections(table(spark, sf_dir, "pages").select("page_id", "html"))
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("main_text_len").alias("main_text_len"))
 
 
-@registered()
+@registered(
+    f"WITH {PAGE_SQL} SELECT 'page' || page_id || '.html' AS path, sec_ord, title, body FROM sections "
+    f"UNION ALL SELECT 'doc' || doc_id || '.txt', 0, '', body FROM {DOCS} WHERE body <> ''"
+)
 def source_dispatch(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
