@@ -192,7 +192,7 @@ def titled_chunks(spark, sf_dir):
 
 # Pages as SQL sees them: tags and texts as events; depths and open tags as running sums, a closing tag ending the
 # innermost open one; each stream (all that is visible, main content) cut at headings; texts joined by what lies between.
-UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+UNESCAPED = "regexp_replace(replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), '&middot;', '·'), '&amp;?', '&', 'g')"
 INLINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 BREAKS = "('" + "', '".join(sorted(html.BREAKING)) + "')"
 NOISY = "(tag IN ('" + "', '".join(sorted(html.NOISE_TAGS)) + "') OR " + " OR ".join(f"contains(blob, '{m}')" for m in html.NOISE) + ")"
@@ -687,11 +687,12 @@ def flagship(spark, sf_dir):
     "count(*) / greatest(1, max(nq))::DOUBLE AS overlap FROM qterm JOIN tf USING (token) JOIN df USING (token), size GROUP BY item_id, chunk_id), "
     "b AS (SELECT c.*, q.item_id, qtext, round(coalesce(0.7 * bm25 + 0.3 * overlap, 0), 6) AS broad, row_number() OVER (PARTITION BY q.item_id ORDER BY broad DESC, c.chunk_id) AS r FROM c CROSS JOIN q LEFT JOIN m ON m.chunk_id = c.chunk_id AND m.item_id = q.item_id QUALIFY r <= 30), "
     f"s AS (SELECT *, round(broad + {BONUS}, 6) AS s, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id)::INTEGER AS rank FROM b QUALIFY rank <= 6) "
-    "SELECT item_id, rank, source, round(s, 4) AS score, substring(text, 1, 180) AS snippet FROM s"
+    "SELECT item_id, rank, source, s AS score, substring(text, 1, 180) AS snippet FROM s"
 )
 def chunk_retrieval(spark, sf_dir):
     """The same for all benchmark items."""
     chunks = materialize(_document_chunks(spark, sf_dir), "chunks")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
     hits = lexical.lexical_top(queries, chunks, 6, chunk="chunk_id").join(chunks.withColumnRenamed("chunk_id", "chunk"), "chunk")
-    return evidence.evidence(hits).select(F.col("query").alias("item_id"), "rank", "source", "score", "snippet")
+    hits = evidence.evidence(hits.withColumn("six", F.col("score")))
+    return hits.select(F.col("query").alias("item_id"), "rank", "source", F.col("six").alias("score"), "snippet")
