@@ -2,6 +2,11 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame over all its predecessor kept; all but the last return the columns of
 documents, with n_chars as the text's length where a stage changes texts.
+
+Defined cases, in every stage: an empty table gives an empty result; other columns are carried whatever their names; texts
+are never cut. Quality scores null and empty texts like any others. Line dedup keeps null texts null and all rows, also
+those that share an id. Near-dedup keeps rows with null ids and texts without words, and of rows that share an id one.
+Mixing keeps every row at least once; rows that share id and text are repeated alike. Tokens of null texts are none.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, linededup, minhash, mixing, quality
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, plain
 
 #: SQL can't express the trained stages; tests compare them with brute-force versions.
 ORACLE_SQL = None
@@ -23,9 +28,10 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    ranker = quality.fit(docs, labels, F.lit(True))
-    scored = quality.score(docs, ranker, keep=docs.columns)
-    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ranker = quality.fit(docs.select("doc_id", "text"), labels, F.lit(True))
+    rows, (key, text) = plain(docs, "doc_id", "text")
+    scored = quality.score(rows, ranker, key, text, rows.columns).filter(F.col("score") >= quality.THRESHOLD)
+    return scored.select(*rows.columns).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
