@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SLOTS, id_slot, materialize, plain, repeated_slots, set_bits, slot_map, text_of, tile_visits, tiled
+from docloom.llm.common import SLOTS, id_slot, join_frequent, materialize, plain, repeated_slots, set_bits, slot_map, text_of, tile_visits, tiled
 from docloom.llm.components import components
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
@@ -219,24 +219,24 @@ def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """(band, id, sig) of the band keys that two classes or more may have, told by a slot map of 8 MiB.
+    """(band, id, sig) of the band keys that two classes or more have.
 
-    Keys are counted with map-side combination, so a frequent key is a row of each task. A key that is let through
-    although it has one class meets nothing.
+    A slot map of 8 MiB holds most other keys back while there are few of them; the rest are counted as keys alone. Both
+    counts combine in the tasks, so a frequent key is a row of each, and signatures go only where keys repeat.
     """
     keys = classes.select(F.explode("bands").alias("band")).select(F.pmod("band", F.lit(SLOTS)).alias("slot"))
     shared = classes.sparkSession.sparkContext.broadcast(repeated_slots(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                bands = part.column(2).flatten().to_numpy()
-                kept = np.flatnonzero(set_bits(shared.value, bands % SLOTS))
-                rows = part.take(pa.array(kept // BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(bands[kept]), rows.column(0), rows.column(1)], names=["band", "id", "sig"])
-
-    return classes.select(F.col("rep").alias("id"), "sig", "bands").mapInArrow(run, "band long, id long, sig array<long>")
+            bands = batch.column(1).flatten().to_numpy()
+            kept = np.flatnonzero(set_bits(shared.value, bands % SLOTS))
+            yield pa.RecordBatch.from_arrays([pa.array(bands[kept]), batch.column(0).take(pa.array(kept // BANDS))], names=["band", "id"])
+
+    kept = materialize(classes.select(F.col("rep").alias("id"), "bands").mapInArrow(run, "band long, id long"), "banded")
+    repeated = materialize(kept.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    members = join_frequent(kept, repeated, ["band"], "n", kept.count())
+    return members.join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("band", "id", "sig")
 
 
 def _clusters(members: DataFrame, least: int) -> DataFrame:
