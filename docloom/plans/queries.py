@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import chunking, evidence, html, lexical, rerank, sections, taskspec, vectors
-from docloom.sources import documents
+from docloom.sources import clients, documents
 from docloom.sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +424,31 @@ def fallback_lexical(spark, sf_dir):
     return evidence.evidence(_two_stage(spark, sf_dir), "doc_id").select("source", "score", "snippet", "rank")
 
 
+# Every item with candidates of its own: item i asks with the vector whose id is 20 * i, as documents and vectors share ids.
+
+ALL_PAIRS = (
+    f"near AS (SELECT q.vec_id // 20 AS item_id, e.vec_id AS doc_id FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id // 20 IN (SELECT item_id FROM benchmark) "
+    f"QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) <= 24), "
+    f"tok AS (SELECT item_id, doc_id, text, {TOKENS.format('text')} AS t FROM near JOIN documents USING (doc_id)), size AS (SELECT item_id, count(*) AS n, avg(len(t)) AS avg_len FROM tok GROUP BY item_id), {QUERY_SQL}, "
+    "qterm AS (SELECT item_id, len(list_distinct(qt)) AS nq, token, count(*) AS qtf FROM (SELECT item_id, qt, unnest(qt) AS token FROM q) GROUP BY item_id, nq, token), "
+    "tf AS (SELECT item_id, doc_id, len, token, count(*) AS tf FROM (SELECT item_id, doc_id, len(t) AS len, unnest(t) AS token FROM tok) GROUP BY ALL), "
+    "df AS (SELECT item_id, token, count(*) AS df FROM tf GROUP BY ALL), "
+    "m AS (SELECT item_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(1.0, avg_len)))) AS bm25, count(*) / greatest(1, max(nq))::DOUBLE AS overlap "
+    "FROM qterm JOIN tf USING (item_id, token) JOIN df USING (item_id, token) JOIN size USING (item_id) GROUP BY item_id, doc_id), "
+    f"s AS (SELECT item_id, doc_id, round(round(coalesce(0.7 * bm25 + 0.3 * overlap, 0), 6) + {BONUS}, 6) AS score FROM tok JOIN q USING (item_id) LEFT JOIN m USING (item_id, doc_id))"
+)
+
+
+@registered(f"WITH {ALL_PAIRS} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 6")
+def two_stage_batch(spark, sf_dir):
+    """Both stages for all items in one plan, with statistics of each item's own candidates."""
+    e, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query"), F.col("text").alias("query_text"))
+    vectors_of = e.filter("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 20).alias("query"), "embedding").join(queries.select("query"), "query", "left_semi")
+    near = materialize(vectors.vector_top(vectors_of, e, rerank.rerank_budget(6)).join(docs, F.col("vec_id") == F.col("doc_id")).select("query", "doc_id", "text"), "near")
+    return lexical.lexical_within(queries, near, 6, chunk="doc_id").withColumnsRenamed({"query": "item_id", "chunk": "doc_id"})
+
+
 RESPONSES = [
     (1, '{"results":[{"index":1,"relevance_score":0.9},{"index":1,"relevance_score":0.8},{"index":0,"relevance_score":0.7}]}'),
     (2, '{"data":[{"document_index":5,"score":0.9},{"document_index":1,"score":0.8},{"document_index":-1,"score":0.7},{"document_index":0,"score":0.6}]}'),
@@ -488,6 +513,16 @@ def embed_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.head("text", EMBEDDED).alias("head"))
 
 
+@registered(
+    "SELECT doc_id, length(h)::DOUBLE AS chars, (length(h) - length(replace(h, ' ', '')))::DOUBLE AS spaces, (length(h) - length(replace(h, 'e', '')))::DOUBLE AS letters "
+    "FROM (SELECT doc_id, substring(coalesce(text, ''), 1, 3000) AS h FROM documents)"
+)
+def embedded_documents(spark, sf_dir):
+    """Every document through the batches of a client that refuses the first size."""
+    rows = clients.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), clients.CountingEmbedder, "m")
+    return rows.select("doc_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(("chars", "spaces", "letters"))])
+
+
 MESSAGES = [
     (1, "batch size is invalid, it should not be larger than 10"), (2, "API HTTPError 429: Too Many Requests"), (3, "Read timed out"),
     (4, "API URLError: refused"), (5, "NOT BE LARGER THAN   25 texts"), (6, "invalid key"), (7, "BadRequest.TooLarge"),

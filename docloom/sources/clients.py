@@ -100,6 +100,19 @@ class HashingEmbedder:
         return out
 
 
+class CountingEmbedder:
+    """Deterministic embedder for checks: a text's numbers of characters, of spaces and of the letter e, in batches that a
+    service of ``limit`` texts accepts."""
+
+    def __init__(self, limit: int = 7):
+        self.limit = limit
+
+    def embed(self, model: str, texts: list[str]) -> list[list[float]]:
+        if len(texts) > self.limit:
+            raise ModelError(f"batch size is invalid, it should not be larger than {self.limit}")
+        return [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+
 def embed_all(client, model: str, texts: list[str], size: int = 10, attempts: int = 4, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
     """Vectors of ``texts``, in batches that shrink for good when the service names a limit.
 
