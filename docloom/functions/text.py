@@ -71,6 +71,11 @@ def brief(x: str | Column, length: int = 280) -> Column:
     return F.when(F.length(x) > length, F.concat(F.left(x, F.lit(length)), F.lit("..."))).otherwise(_col(x))
 
 
+def brief_dump(*columns: str, length: int = 280) -> Column:
+    """The columns as a JSON object, cut like ``brief``."""
+    return brief(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), length)
+
+
 def tail(x: str | Column, length: int = 4000) -> Column:
     """The last ``length`` characters."""
     return F.right(x, F.lit(length))

@@ -569,6 +569,14 @@ def brief_json(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.brief("text").alias("brief"))
 
 
+@registered(
+    "SELECT conv_id, turn, CASE WHEN length(j) > 280 THEN left(j, 280) || '...' ELSE j END AS brief FROM "
+    "(SELECT conv_id, turn, to_json({'turn': turn, 'role': role, 'text': text})::VARCHAR AS j FROM conversations)"
+)
+def brief_object(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.brief_dump("turn", "role", "text").alias("brief"))
+
+
 @registered(f"WITH {TOP} SELECT item_id, 'generated' AS status, count(*) AS n, sum(round(score, 4) * rank) AS weighted, string_agg(substring(text, 1, 180), '|' ORDER BY rank) AS snippets, true AS no_error FROM best GROUP BY item_id")
 def response_struct(spark, sf_dir):
     hits = _top(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")

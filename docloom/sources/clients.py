@@ -36,6 +36,12 @@ def model_failure(error: BaseException) -> str | None:
     return said[-1] if said else None
 
 
+def brief(value: object, length: int = 280) -> str:
+    """A value as JSON, cut with an ellipsis beyond ``length`` characters."""
+    text = json.dumps(value, ensure_ascii=False, default=str)
+    return text if len(text) <= length else text[:length] + "..."
+
+
 class JsonClient:
     """GET and POST of JSON with a bearer token; embeddings, chat, rerank and model lists of an OpenAI-like service."""
 
@@ -64,12 +70,12 @@ class JsonClient:
     def embed(self, model: str, texts: list[str]) -> list[list[float]]:
         items = self.call("/embeddings", {"model": model, "input": texts}).get("data")
         if not isinstance(items, list):
-            raise ModelError("embedding response has no list of data")
+            raise ModelError(f"embedding response has no list of data: {brief(items)}")
         out = []
         for item in items:
             vector = item.get("embedding") if isinstance(item, dict) else None
             if not isinstance(vector, list) or not vector or not all(isinstance(v, (int, float)) for v in vector):
-                raise ModelError("embedding response has an invalid vector")
+                raise ModelError(f"embedding response has an invalid vector: {brief(vector)}")
             out.append([float(v) for v in vector])
         return out
 
