@@ -6,9 +6,10 @@
 3. The members of a band key are compared by signature: pairs whose collision-corrected estimate lies within six
    standard errors of the threshold or above are candidates, and a spanning forest of them joins sets to clusters.
    Clusters hold every candidate pair, and little else, as sets that aren't similar aren't joined.
-4. Each cluster's sets are sent once to its tiles, where every pair of a tile's homes and visitors that isn't already
-   connected there is confirmed on the full sets: a visitor's shingles are looked up among those of all homes, which
-   gives the intersections with all of them at once. Tasks return spanning forests of the links; no pairs are emitted.
+4. Each cluster's sets are compared with its first one on the full sets, which joins most clusters whole. The sets of
+   others are sent to tiles, where every pair of a tile's homes and visitors that isn't already connected there is
+   confirmed: a visitor's shingles are looked up among those of all homes, which gives the intersections with all of
+   them at once. Tasks return spanning forests of the links; no pairs are emitted.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**32 = 3e-7; nothing else is probabilistic
 but 64-bit hashing. There is no cap on a key's members or on partners.
@@ -322,8 +323,17 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
                     # What this visitor has connected needs no further links but to it.
                     label[np.isin(label, roots)] = roots[0]
 
-    rows = tiled(sets, ["component"], "id", SETS)
-    return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
+    # First all sets of a cluster against the one with the smallest id, which bears the cluster's number.
+    first = F.col("id") == F.col("component")
+    stars = tiled(materialize(sets.filter(~first), "others"), ["component"], "id", SETS, sets.filter(first).withColumn("role", F.lit(1)))
+    stars = materialize(stars.mapInArrow(compare, "a long, b long"), "stars")
+    # Then all pairs of the clusters of three sets or more that this hasn't joined.
+    groups = sets.select("component", "id").join(components(stars).withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    split = groups.groupBy("component").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y AND n > 2")
+    split = materialize(split.select("component", "n"), "split")
+    left = materialize(join_frequent(sets, split, ["component"], "n", split.agg(F.sum("n")).first()[0] or 0).select("component", "id", "shingles"), "left")
+    rows = tiled(left, ["component"], "id", SETS)
+    return stars.unionAll(materialize(rows.mapInArrow(compare, "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
