@@ -147,7 +147,7 @@ def runs(batches, keys: int):
             yield tuple(int(c[s]) for c in cols), batch.slice(s, e - s)
 
 
-def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None) -> DataFrame:
+def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None, among: bool = False) -> DataFrame:
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
     ``members`` is read several times, so it should be a written table.
@@ -174,6 +174,9 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int | Column,
     else:
         guests = join_frequent(visitors, tiles, group, "_n", total).withColumn("tile", every).withColumn("other", F.lit(0))
         both = home.withColumnRenamed("_tile", "tile").withColumns({"other": F.lit(0), "role": F.lit(0)}).unionByName(guests)
+        if among:
+            later = home.filter("_tile > 0").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tile") - 1))).drop("_tile")
+            both = both.unionByName(later.withColumns({"other": F.lit(0), "role": F.lit(1)}))
     first = [*group, "tile", "other", "role"]
     both = both.select(*first, *[c for c in both.columns if c not in first and c != "_tiles"])
     return both.repartition(*group, "tile", "other").sortWithinPartitions(*first)

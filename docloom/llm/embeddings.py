@@ -4,8 +4,8 @@ For unit vectors, cosine >= c is squared distance <= 2 - 2c. Vectors are rotated
 split into BLOCKS blocks of equal width; a pair within the whole budget is within a block's proportional share of it in
 at least one block. Each block is joined by range over several of its coordinates: these are cut at quantiles, which gives
 boxes of about SLAB vectors. A vector is at home in its box and visits the boxes of lower numbers
-whose squared distance from it, summed over the block's cut coordinates, is within the share, so each pair of vectors is
-met in one box. Inside a box, block distances within the share select candidates, and the union of candidates over blocks
+whose squared distance from it, summed over the block's cut coordinates, is within the share, so each pair of vectors
+meets once. Inside a box, block distances within the share select candidates, and the union of candidates over blocks
 is verified exactly, by cosine in double precision of the vectors as given. A pair is counted in the first block that
 finds it, so no pair is emitted: tasks return each vector's number of links and a spanning forest of the links they saw.
 
@@ -146,18 +146,18 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["w", "id", "v", "homes"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Visitors of boxes: role 1 of their own, 2 of others."""
+        """Visitors of boxes of lower numbers than their own."""
         for width, part, r in of_width(batches):
             at, own = cuts(width), part.column(3).flatten().to_numpy().reshape(len(r), -1)
             for k, share in enumerate(shares(width, cosine)):
                 row, box = visited(r[:, at[k] : at[k + 1]], bounds[width][k], share)
                 lower = box < own[row, k]
-                row, box = np.append(np.arange(len(r)), row[lower]), np.append(own[:, k], box[lower])
+                row, box = row[lower], box[lower]
                 for s in range(0, len(row), 8192):
                     some, to = row[s : s + 8192], box[s : s + 8192]
-                    block, role = np.full(len(some), width * BLOCKS + k), 1 + (to != own[some, k]).astype(np.int32)
+                    block = np.full(len(some), width * BLOCKS + k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(block), pa.array(to), pa.array(role), part.column(1).take(pa.array(some)), part.column(2).take(pa.array(some))], names=["block", "box", "role", "id", "v"]
+                        [pa.array(block), pa.array(to), pa.array(np.full(len(some), 2, np.int32)), part.column(1).take(pa.array(some)), part.column(2).take(pa.array(some))], names=["block", "box", "role", "id", "v"]
                     )
 
     kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
@@ -166,10 +166,10 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
     members = members.select((F.col("w").cast("long") * BLOCKS + F.col("k")).alias("block"), "box", "id", "v")
     visitors = placed.mapInArrow(visit, f"block long, box long, role int, id long, v {kept}")
     room = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(ROOM) / F.floor(F.col("block") / BLOCKS))))
-    rows = tiled(members, ["block", "box"], "id", room, visitors)
+    rows = tiled(members, ["block", "box"], "id", room, visitors, among=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, homes, u = None, [], None
+        homes, u = [], None
         counts: dict[int, int] = {}
         parent: dict[int, int] = {}
 
@@ -185,36 +185,19 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
             for x, n in zip(*(v.tolist() for v in np.unique(nodes, return_counts=True)), strict=True):
                 counts[x] = counts.get(x, 0) + n
 
-        for (number, box, tile, _, role), part in runs(batches, 5):
-            if (number, box, tile) != group:
-                group, homes, u = (number, box, tile), [], None
-                width, block = divmod(number, BLOCKS)
-                at, share, turn = cuts(width), shares(width, cosine), rotation(width)
-                s = slice(at[block], at[block + 1])
-                yield from flush()
-            if not role:
-                homes.append((part.column(5).to_numpy(), _matrix(part.column(6), width)))
-                continue
-            if not homes:
-                continue
-            if u is None:
-                ids = np.concatenate([x[0] for x in homes])
-                u = units(np.concatenate([x[1] for x in homes]))
-                homes = [()]
-                r = u @ turn
-                # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.
-                hr = np.concatenate([-2 * r[:, s], (r[:, s] ** 2).sum(axis=1)[:, None], np.ones((len(r), 1))], axis=1).astype(np.float32)
-            other_ids, other = part.column(5).to_numpy(), units(_matrix(part.column(6), width))
-            other_r = other @ turn
+        def meet(other_ids: np.ndarray, other: np.ndarray, other_r: np.ndarray, themselves: bool):
+            """Links of the homes with others, or among themselves."""
             limit = share[block] + 1e-5  # for single precision
             orr = np.concatenate([other_r[:, s], np.ones((len(other_r), 1)), (other_r[:, s] ** 2).sum(axis=1)[:, None] - limit], axis=1)
             orr = np.ascontiguousarray(orr.T, np.float32)
-            for v, h in ((v, h) for v in range(0, len(other_ids), VISITORS) for h in range(0, len(ids), HOMES)):
+            for v, h in ((v, h) for v in range(0, len(other_ids), VISITORS) for h in range(0, min(len(ids), v + VISITORS) if themselves else len(ids), HOMES)):
                 hid, hu, hrot = ids[h : h + HOMES], u[h : h + HOMES], r[h : h + HOMES]
                 oid, ou, orot = other_ids[v : v + VISITORS], other[v : v + VISITORS], other_r[v : v + VISITORS]
                 found = np.flatnonzero((hr[h : h + HOMES] @ orr[:, v : v + VISITORS]).ravel() <= 0)
                 i, j = np.divmod(found, len(oid))
-                new = hid[i] < oid[j] if role == 1 else hid[i] != oid[j]  # two homes of a box meet twice in it
+                new = hid[i] != oid[j]
+                if themselves:
+                    new &= i + h < j + v
                 i, j = i[new], j[new]
                 for piece in range(0, len(i), 1 << 16):
                     a, b = i[piece : piece + (1 << 16)], j[piece : piece + (1 << 16)]
@@ -249,7 +232,39 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
                             parent[node] = to
                 if len(parent) + len(counts) > 2_000_000:
                     yield from flush()
-        yield from flush()
+
+        def tiles():
+            """(group, role, rows), and a last one of each tile without rows."""
+            now = None
+            for (number, box, tile, _, role), part in runs(batches, 5):
+                if (number, box, tile) != now:
+                    if now is not None:
+                        yield now, 9, None
+                    now = number, box, tile
+                yield now, role, part
+            if now is not None:
+                yield now, 9, None
+
+        for (number, *_), role, part in tiles():
+            if not role:
+                width, block = divmod(number, BLOCKS)
+                homes.append((part.column(5).to_numpy(), _matrix(part.column(6), width)))
+                continue
+            if homes:  # all of them are here
+                at, share, turn = cuts(width), shares(width, cosine), rotation(width)
+                s = slice(at[block], at[block + 1])
+                ids = np.concatenate([x[0] for x in homes])
+                u = units(np.concatenate([x[1] for x in homes]))
+                homes, r = [], u @ turn
+                # |x|**2 + |y|**2 - 2xy - share as one product: the columns behind the coordinates add the squares.
+                hr = np.concatenate([-2 * r[:, s], (r[:, s] ** 2).sum(axis=1)[:, None], np.ones((len(r), 1))], axis=1).astype(np.float32)
+                yield from meet(ids, u, r, True)
+            if role < 9 and u is not None:
+                other = units(_matrix(part.column(6), width))
+                yield from meet(part.column(5).to_numpy(), other, other @ turn, False)
+            if role == 9:
+                u = None
+                yield from flush()
 
     found = materialize(rows.mapInArrow(compare, "kind int, a long, b long"), "links")
     return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n")), found.filter("kind = 1").select("a", "b")
