@@ -328,8 +328,9 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
     stars = tiled(materialize(sets.filter(~first), "others"), ["component"], "id", SETS, sets.filter(first).withColumn("role", F.lit(1)))
     stars = materialize(stars.mapInArrow(compare, "a long, b long"), "stars")
     # Then all pairs of the clusters of three sets or more that this hasn't joined.
-    groups = sets.select("component", "id").join(components(stars).withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
-    split = groups.groupBy("component").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y AND n > 2")
+    linked = stars.select(F.col("b").alias("id"), F.lit(1).alias("linked")).distinct()
+    groups = sets.filter(~first).select("component", "id").distinct().join(linked, "id", "left")
+    split = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count("linked").alias("linked")).filter("n > linked AND n > 1")
     split = materialize(split.select("component", "n"), "split")
     left = materialize(join_frequent(sets, split, ["component"], "n", split.agg(F.sum("n")).first()[0] or 0).select("component", "id", "shingles"), "left")
     rows = tiled(left, ["component"], "id", SETS)
