@@ -36,8 +36,8 @@ from docloom.llm.components import components
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
 PERMS = BANDS * ROWS
 LONGS = PERMS * BITS // 64
-#: Rows of texts that are hashed together, signatures and full sets of a tile.
-SLICE, TILE, SETS = 256, 2048, 512
+#: Rows of texts that are hashed together, signatures and full sets of a tile, and full sets that meet a cluster's first one.
+SLICE, TILE, SETS, STAR = 256, 2048, 512, 128
 
 _U = np.uint64
 _RNG = np.random.default_rng(0x5EED)
@@ -325,7 +325,7 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
 
     # First all sets of a cluster against the one with the smallest id, which bears the cluster's number.
     first = F.col("id") == F.col("component")
-    stars = tiled(materialize(sets.filter(~first), "others"), ["component"], "id", SETS, sets.filter(first).withColumn("role", F.lit(1)))
+    stars = tiled(materialize(sets.filter(~first), "others"), ["component"], "id", STAR, sets.filter(first).withColumn("role", F.lit(1)))
     stars = materialize(stars.mapInArrow(compare, "a long, b long"), "stars")
     # Then all pairs of the clusters of three sets or more that this hasn't joined.
     linked = stars.select(F.col("b").alias("id"), F.lit(1).alias("linked")).distinct()
