@@ -150,15 +150,18 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
         for width, part, r in of_width(batches):
             at, own = cuts(width), part.column(3).flatten().to_numpy().reshape(len(r), -1)
             for k, share in enumerate(shares(width, cosine)):
-                row, box = visited(r[:, at[k] : at[k + 1]], bounds[width][k], share)
-                lower = box < own[row, k]
-                row, box = row[lower], box[lower]
-                for s in range(0, len(row), 8192):
-                    some, to = row[s : s + 8192], box[s : s + 8192]
-                    block = np.full(len(some), width * BLOCKS + k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block), pa.array(to), pa.array(np.full(len(some), 2, np.int32)), part.column(1).take(pa.array(some)), part.column(2).take(pa.array(some))], names=["block", "box", "role", "id", "v"]
-                    )
+                step = max(8, min(1024, (1 << 22) // int(np.prod([len(b) + 1.0 for b in bounds[width][k]]))))
+                for first in range(0, len(r), step):  # rows whose boxes are listed at once
+                    row, box = visited(r[first : first + step, at[k] : at[k + 1]], bounds[width][k], share)
+                    row += first
+                    lower = box < own[row, k]
+                    row, box = row[lower], box[lower]
+                    for s in range(0, len(row), 8192):
+                        some, to = pa.array(row[s : s + 8192]), box[s : s + 8192]
+                        block, role = np.full(len(to), width * BLOCKS + k), np.full(len(to), 2, np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(block), pa.array(to), pa.array(role), part.column(1).take(some), part.column(2).take(some)], names=["block", "box", "role", "id", "v"]
+                        )
 
     kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     placed = materialize(rows.select("w", "id", F.col("v").cast(kept).alias("v")).mapInArrow(place, f"w int, id long, v {kept}, homes array<long>"), "placed")
