@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import join_frequent, materialize, scratch_path, text_of
+from docloom.llm.common import join_frequent, materialize, text_of
+from docloom.sources.scratch import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_REVISIT = 100
