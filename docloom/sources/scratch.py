@@ -1,14 +1,22 @@
-"""Tables that are written to the shared folder to be read several times."""
+"""Tables that are written to the shared folder to be read several times.
+
+Inside ``scratch_scope`` they are deleted at the scope's end, but for those that a kept DataFrame reads.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Whether a query's shuffle files are removed at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The paths of each open scope, by thread.
+_scopes = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,4 +52,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Yields ``keep``; tables written inside are deleted at the end unless a kept DataFrame reads them.
+
+    Kept tables belong to the scope around, if there is one. Nothing else that was made inside may be used afterwards.
+    """
+    _scopes.open = getattr(_scopes, "open", [])
+    _scopes.open.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(file.rsplit("/", 1)[0].rsplit("/", 1)[-1] for file in df.inputFiles())
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _scopes.open.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            if path.rsplit("/", 1)[-1] in kept:
+                if _scopes.open:
+                    _scopes.open[-1].append(path)
+            else:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(conf).delete(target, True)
