@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.sources.scratch import materialize, scratch_scope
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def _jumped(parents: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``_components`` without the tables of its rounds."""
+    with scratch_scope(links.sparkSession) as keep:
+        return keep(_components(links, a, b))
+
+
+def _components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) for every id in ``links``; component is the smallest id reachable.
 
     Rounds of hooking and contraction: each id takes its smallest neighbour as parent if that is smaller,

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, runs, tiled
 from docloom.llm.components import components
+from docloom.sources.scratch import scratch_scope
 
 #: Blocks; members of a box as a goal, homes of a tile, and the coordinates that either has at most; homes and visitors
 #: compared at once.
@@ -275,8 +276,10 @@ def linked(vectors: DataFrame, key: str, vector: str, cosine: float) -> tuple[Da
 
 def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """(key, n_links, component_id, kept) for each row: links are pairs with a cosine of at least ``cosine``."""
-    counts, forest = linked(vectors, key, vector, cosine)
-    joined = components(forest)
+    with scratch_scope(vectors.sparkSession) as keep:
+        counts, forest = linked(vectors, key, vector, cosine)
+        keep(counts)
+        joined = keep(components(forest))
     counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
     ids = vectors.select(F.col(key).cast("long").alias(key))
     out = ids.join(counts, F.col(key) == F.col("id"), "left").drop("id").join(joined, F.col(key) == F.col("id"), "left")

@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SLOTS, join_frequent, materialize, plain, repeated_slots, set_bits, text_of
+from docloom.llm.common import SLOTS, join_frequent, plain, repeated_slots, set_bits, text_of
+from docloom.sources.scratch import materialize, scratch_scope
 
 WINDOW, DIVISOR = 2, 3
 #: Words that a passage of any lines is to exceed.
@@ -202,19 +203,20 @@ def without_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "t
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["at", "h", "first", "n", "d"])
 
     at, h = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
-    rows = docs.select(at.alias("at"), h.alias("h"), text_of(text).alias("text"))
-    found = materialize(rows.mapInArrow(run, "at long, h long, first int, n int, d long"), "chunks")
-
     names = docs.columns
-    texts = docs.select(*names, at.alias("_at"), h.alias("_h"))
-    joined = materialize(texts.join(listed(decided(found, ["d"])), ["_at", "_h"], "left"), "joined")
-    clash = spelled(joined, text).groupBy("d").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("d")
-    clash = materialize(clash, "clash")
-    if not clash.isEmpty():
-        exact = decided(materialize(spelled(joined, text, clash), "spelled"), ["d", "c"]).select("at", "h", "first", "n", "d", "gone")
-        kept = joined.select(F.col("_at").alias("at"), F.col("_h").alias("h"), F.explode("_list").alias("r")).select("at", "h", "r.*").distinct()
-        marked = kept.join(F.broadcast(clash), "d", "left_anti").select("at", "h", "first", "n", "d", "gone").unionByName(exact)
-        joined = materialize(joined.drop("_list", "_gone").join(listed(marked), ["_at", "_h"], "left"), "joined")
+    with scratch_scope(docs.sparkSession) as keep:
+        rows = docs.select(at.alias("at"), h.alias("h"), text_of(text).alias("text"))
+        found = materialize(rows.mapInArrow(run, "at long, h long, first int, n int, d long"), "chunks")
+        texts = docs.select(*names, at.alias("_at"), h.alias("_h"))
+        joined = materialize(texts.join(listed(decided(found, ["d"])), ["_at", "_h"], "left"), "joined")
+        clash = spelled(joined, text).groupBy("d").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("d")
+        clash = materialize(clash, "clash")
+        if not clash.isEmpty():
+            exact = decided(materialize(spelled(joined, text, clash), "spelled"), ["d", "c"]).select("at", "h", "first", "n", "d", "gone")
+            kept = joined.select(F.col("_at").alias("at"), F.col("_h").alias("h"), F.explode("_list").alias("r")).select("at", "h", "r.*").distinct()
+            marked = kept.join(F.broadcast(clash), "d", "left_anti").select("at", "h", "first", "n", "d", "gone").unionByName(exact)
+            joined = materialize(joined.drop("_list", "_gone").join(listed(marked), ["_at", "_h"], "left"), "joined")
+        keep(joined)
 
     lines = F.split(F.col(text), "\n")
     ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda r: r.first + r.n))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import SLOTS, id_slot, join_frequent, materialize, plain, repeated_slots, set_bits, slot_map, text_of, tile_visits, tiled
 from docloom.llm.components import components
+from docloom.sources.scratch import scratch_scope
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
 PERMS = BANDS * ROWS
@@ -325,7 +326,7 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
 
     # First all sets of a cluster against the one with the smallest id, which bears the cluster's number.
     first = F.col("id") == F.col("component")
-    stars = tiled(materialize(sets.filter(~first), "others"), ["component"], "id", STAR, sets.filter(first).withColumn("role", F.lit(1)))
+    stars = tiled(sets.filter(~first), ["component"], "id", STAR, sets.filter(first).withColumn("role", F.lit(1)))
     stars = materialize(stars.mapInArrow(compare, "a long, b long"), "stars")
     # Then all pairs of the clusters of three sets or more that this hasn't joined.
     linked = stars.select(F.col("b").alias("id"), F.lit(1).alias("linked")).distinct()
@@ -343,8 +344,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = all_rows.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    clusters = _clusters(materialize(_banded(classes), "members"), least_agreement(percent))
-    joined = components(_links(docs, key, text, clusters, percent))
+    with scratch_scope(docs.sparkSession) as keep:
+        clusters = _clusters(materialize(_banded(classes), "members"), least_agreement(percent))
+        joined = keep(components(_links(docs, key, text, clusters, percent)))
 
     known = classes.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("id"), "left")
     known = known.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -360,8 +362,9 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Rows with a null id are kept.
     """
-    found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", percent)
-    kept = materialize(found.filter("kept AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    with scratch_scope(docs.sparkSession) as keep:
+        found = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", percent)
+        kept = keep(materialize(found.filter("kept AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept"))
     rows, (id_,) = plain(docs, key)
     once = rows.join(kept.filter("n = 1").select("id"), F.col(id_) == F.col("id"), "left_semi")
     out = once.unionAll(rows.filter(F.col(id_).isNull()))
