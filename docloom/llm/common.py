@@ -109,24 +109,30 @@ def runs(batches, keys: int):
             yield tuple(int(c[s]) for c in cols), batch.slice(s, e - s)
 
 
-def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None, among: bool = False) -> DataFrame:
+def tiled(members: DataFrame, group: list[str], member: str, size: int | Column, visitors: DataFrame | None = None, among: bool = False, joined: str | None = None) -> DataFrame:
     """Rows for comparing the members of each group without all pairs as rows and without an unbounded task.
 
     ``members`` is read several times, so it should be a written table.
 
     Members are dealt by their hash to ``ceil(members / size)`` tiles of their group. Without ``visitors``, there is a
     task for each pair of tiles: it gets the members of the first as homes (``role`` 0) and those of the second as
-    visitors (``role`` 1), about ``2 * size`` rows; a tile's own members are compared in a task without visitors. With
-    ``visitors``, these come to every tile of their group, where they are streamed. The result, with the columns tile and
-    other behind the group's, is spread by all these and sorted so that homes come first.
+    visitors (``role`` 1), about ``2 * size`` rows; a tile's own members are compared in a task without visitors. Members
+    whose column ``joined`` is true have tiles of their own behind the others', and don't meet each other. With
+    ``visitors``, whose ``role`` is 1 or more, these come to every tile of their group, where they are streamed; with
+    ``among``, homes visit the tiles before their own too (``role`` 1). ``size`` may differ by group. The result, with the
+    columns tile and other behind the group's, is spread by all these and sorted so that homes come first.
     """
-    tiles = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    tiles = materialize(tiles.withColumn("_tiles", F.ceil(F.col("_n") / size).cast("int")), "tiles")
+    idle = F.col(joined) if joined else F.lit(False)
+    tiles = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.count_if(idle).alias("_j"))
+    tiles = tiles.withColumns({"_loose": F.ceil((F.col("_n") - F.col("_j")) / size).cast("int"), "_tight": F.ceil(F.col("_j") / size).cast("int")})
+    tiles = materialize(tiles.withColumn("_tiles", F.col("_loose") + F.col("_tight")).drop("_j"), "tiles")
     total = tiles.agg(F.sum("_n")).first()[0] or 0
-    home = join_frequent(members, tiles, group, "_n", total).withColumn("_tile", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64(member), F.greatest(F.col(n), F.lit(1))).cast("int")
+    home = join_frequent(members, tiles, group, "_n", total).withColumn("_tile", F.when(idle, F.col("_loose") + place("_tight")).otherwise(place("_loose")))
     every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     if visitors is None:
-        both = home.withColumn("_k", every).withColumns(
+        met = F.when(idle, F.col("_loose") - 1).otherwise(F.col("_tiles") - 1)
+        both = home.withColumn("_k", F.explode(F.when(met >= 0, F.sequence(F.lit(0), met)))).withColumns(
             {
                 "tile": F.least("_tile", "_k"),
                 "other": F.greatest("_tile", "_k"),
@@ -140,7 +146,7 @@ def tiled(members: DataFrame, group: list[str], member: str, size: int | Column,
             later = home.filter("_tile > 0").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_tile") - 1))).drop("_tile")
             both = both.unionByName(later.withColumns({"other": F.lit(0), "role": F.lit(1)}))
     first = [*group, "tile", "other", "role"]
-    both = both.select(*first, *[c for c in both.columns if c not in first and c != "_tiles"])
+    both = both.select(*first, *[c for c in both.columns if c not in first and c not in ("_tiles", "_loose", "_tight", joined)])
     return both.repartition(*group, "tile", "other").sortWithinPartitions(*first)
 
 

@@ -121,7 +121,8 @@ def packed(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
 
 
 #: What batches and buckets tell each other. role k: n-grams of k tokens, -k: histories of k tokens; batch -2, -3, -4:
-#: numbers (n) of the words there are, seen once, seen twice. Messages hold no more arrays than three.
+#: numbers (n) of the words there are, seen once, seen twice. Questions hold codes and counts or sums, answers the
+#: whole counts, and whether the batch was first, or sums.
 MESSAGE = "bucket int, role int, batch long, n int, a binary, b binary, c binary, d binary"
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 _NAMES = ["bucket", "role", "batch", "n", "a", "b", "c", "d"]

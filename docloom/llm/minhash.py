@@ -328,13 +328,15 @@ def _links(docs: DataFrame, key: str, text: str, clusters: DataFrame, percent: i
     first = F.col("id") == F.col("component")
     stars = tiled(sets.filter(~first), ["component"], "id", STAR, sets.filter(first).withColumn("role", F.lit(1)))
     stars = materialize(stars.mapInArrow(compare, "a long, b long"), "stars")
-    # Then all pairs of the clusters of three sets or more that this hasn't joined.
-    linked = stars.select(F.col("b").alias("id"), F.lit(1).alias("linked")).distinct()
-    groups = sets.filter(~first).select("component", "id").distinct().join(linked, "id", "left")
-    split = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count("linked").alias("linked")).filter("n > linked AND n > 1")
+    # Then the others of clusters of three sets or more with each other and with those that this has joined.
+    linked = stars.select(F.col("b").alias("id"), F.lit(True).alias("linked")).distinct()
+    groups = sets.select("component", "id").distinct().join(linked, "id", "left")
+    groups = materialize(groups.withColumn("linked", F.coalesce("linked", first)), "groups")
+    split = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if("linked").alias("linked")).filter("n > linked AND n > 2")
     split = materialize(split.select("component", "n"), "split")
-    left = materialize(join_frequent(sets, split, ["component"], "n", split.agg(F.sum("n")).first()[0] or 0).select("component", "id", "shingles"), "left")
-    rows = tiled(left, ["component"], "id", SETS)
+    left = join_frequent(sets, split, ["component"], "n", split.agg(F.sum("n")).first()[0] or 0).select("component", "id", "shingles")
+    left = materialize(left.join(groups.select("id", "linked"), "id").select("component", "id", "shingles", "linked"), "left")
+    rows = tiled(left, ["component"], "id", SETS, joined="linked")
     return stars.unionAll(materialize(rows.mapInArrow(compare, "a long, b long"), "links"))
 
 
