@@ -10,8 +10,10 @@ which can't. The fit ends when the residual is at most MET of the targets' token
 LITTLE of the residual, or after ITERATIONS, it ends too, with a warning; the result tells the residual and whether it
 was met, as targets need not be within the bounds' reach.
 
-The classifier is fitted on at most SAMPLE labelled rows, those whose ids hash lowest. Counts of tokens, moments and
-residuals are over all documents.
+The classifier is fitted on all labelled rows: its loss with a ridge has one minimum, which L-BFGS approaches until no part
+of the gradient is above FLAT; each loss and gradient is one distributed sum. Features of labelled rows are a scratch
+table, and the driver holds PAST pairs of vectors of the weights' size, which grows with domains, not with rows. Counts of
+tokens, moments and residuals are over all documents.
 
 Defined cases: null and empty texts have no tokens and get the posterior of the classifier's bias; labelled rows of null
 domain don't teach; with no labelled rows there is one domain, ''; with fewer domains than targets, the others' targets
@@ -22,19 +24,25 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, plain, text_of
+from docloom.llm.common import id_slot, materialize, plain, set_bits, slot_map, text_of
 from docloom.llm.minhash import word_hashes
-
-#: Labelled rows that the classifier is fitted on, at most; buckets of hashed words; iterations at most.
-SAMPLE, BUCKETS, ITERATIONS = 6_000, 512, 60
+from docloom.sources.scratch import scratch_scope
+
+#: Buckets of hashed words; features; iterations at most.
+BUCKETS, WIDTH, ITERATIONS = 512, 256 + 512, 60
+#: Largest part of the gradient at the classifier's minimum; steps to it at most, beyond which it warns; steps remembered.
+FLAT, STEPS, PAST = 1e-8, 1_000, 50
+#: A feature that isn't 0.
+CELL = np.dtype([("at", "<u2"), ("value", "<f4")])
 #: Shares of the targets' tokens that a met residual has at most, and of the residual that a plain step has to gain.
 MET, LITTLE = 1e-6, 0.02
 #: How many times the tokens that let every domain keep its own are resampled at most, so that targets are in reach.
@@ -44,7 +52,7 @@ SLICE = 256
 
 def bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features, tokens): unit-length roots of counts of bytes and hashed words of each text, and its number of words."""
-    x, tokens = np.zeros((len(texts), 256 + BUCKETS), np.float32), np.zeros(len(texts), np.int64)
+    x, tokens = np.zeros((len(texts), WIDTH), np.float32), np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         data = text.encode("utf-8", "surrogatepass")
         words, _ = word_hashes(data)
@@ -69,46 +77,122 @@ class Domains:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of a softmax regression, by Nesterov's accelerated gradient."""
-    n, width = x.shape
-    hot = np.eye(classes)[y]
-    x = np.concatenate([x, np.ones((n, 1))], axis=1).astype(np.float64)
-    w = v = np.zeros((width + 1, classes))
-    rate = 1 / (0.5 * np.linalg.norm(x.T @ x / n, 2) + ridge)
-    for k in range(steps):
-        z = x @ v
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        g = x.T @ (z / z.sum(axis=1, keepdims=True) - hot) / n + ridge * v
-        new = v - rate * g
-        v = new + k / (k + 3) * (new - w)
-        w = new
-    return w[:-1], w[-1]
+def packed(x: np.ndarray) -> pa.Array:
+    """Each row's cells that aren't 0, as bytes."""
+    row, column = np.nonzero(x)
+    cells = np.empty(len(row), CELL)
+    cells["at"], cells["value"] = column, x[row, column]
+    ends = np.searchsorted(row, np.arange(len(x) + 1)) * CELL.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cells.tobytes())])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of ``packed``, each with a 1 behind."""
+    cells = np.frombuffer(b"".join(column.to_pylist()), CELL)
+    x = np.zeros((len(column), WIDTH + 1))
+    x[np.repeat(np.arange(len(column)), pc.binary_length(column).to_numpy() // CELL.itemsize), cells["at"]] = cells["value"]
+    x[:, -1] = 1
+    return x
+
+
+def labelled_bags(docs: DataFrame, labelled: DataFrame, domain: str, key: str, text: str) -> DataFrame:
+    """(y, x): domain and packed features of every row of ``docs`` whose key is in ``labelled``, as a scratch table.
+
+    Texts are turned into features before they meet the keys, so that only features are shuffled; a slot map of the keys
+    (8 MiB) holds most other texts back.
+    """
+    kind = docs.select(key).union(labelled.select(key)).schema[0].dataType  # as a join compares them
+    keys = labelled.select(F.col(key).cast(kind).alias("k")).filter("k IS NOT NULL").distinct()
+    held = docs.sparkSession.sparkContext.broadcast(slot_map(keys.select((id_slot("k") + 1).alias("s")), "s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(set_bits(held.value, batch.column(0).to_numpy())))
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                x, _ = bag(piece.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), packed(x)], names=["k", "y", "x"])
+
+    rows = docs.select(F.col(key).cast(kind).alias("k"), F.col(domain).cast("string").alias("y"), text_of(text).alias("text"))
+    rows = rows.filter("k IS NOT NULL AND y IS NOT NULL").select(id_slot("k").alias("slot"), "k", "y", "text")
+    made = rows.mapInArrow(run, f"k {kind.simpleString()}, y string, x binary")
+    made = made.join(keys.hint("merge"), "k", "left_semi").sortWithinPartitions("k", "y", "x")  # a rerun has the same order
+    return materialize(made.select("y", "x"), "bags")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str, key: str = "doc_id", text: str = "text") -> Domains:
-    """Fit on the documents whose key is in ``labelled``; ``domain``: a column of ``docs``."""
-    keys = labelled.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
-    chosen = F.broadcast(keys.orderBy(F.xxhash64(key), key).limit(SAMPLE))  # at most SAMPLE numbers
-    rows = docs.filter(F.col(domain).isNotNull()).select(F.col(key), F.col(domain).cast("string").alias("y"), text_of(text).alias("text")).join(chosen, key)
+def softmax_loss(bags: DataFrame, names: list[str], n: int, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean loss of all ``n`` rows of ``bags`` at weights ``w`` (biases last) with ``ridge``, and its gradient.
+
+    Tasks' sums are added in the order of their values, so a rerun gives the same numbers.
+    """
+    domains = pa.array(names, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, gradient = 0.0, np.zeros(w.shape)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                x, _ = bag(piece.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["y", "x"])
-
-    got = rows.select("y", "text").mapInArrow(run, "y string, x array<float>").toArrow()
-    names = sorted(set(got.column("y").to_pylist())) or [""]
-    width = 256 + BUCKETS
-    if len(names) < 2:
-        return Domains(names, np.zeros((width, 1)), np.zeros(1))
-    y = np.array([names.index(v) for v in got.column("y").to_pylist()])
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
-    order = np.lexsort((x[:, 256:].sum(axis=1), x[:, :256].sum(axis=1), y))
-    return Domains(names, *fit_softmax(x[order], y[order], len(names)))
+                x, y = unpacked(piece.column(1)), pc.index_in(piece.column(0), domains).to_numpy()
+                own = np.arange(len(y)), y
+                z = x @ w
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z)
+                total = p.sum(axis=1)
+                loss += (np.log(total) - z[own]).sum()
+                p /= total[:, None]
+                p[own] -= 1
+                gradient += x.T @ p
+        out = np.append(gradient.ravel(), loss)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["k", "v"])
+
+    told = bags.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    got = told.select("k", F.aggregate("v", F.lit(0.0), lambda a, b: a + b).alias("v")).toArrow()
+    out = np.zeros(w.size + 1)
+    out[got.column("k").to_numpy()] = got.column("v").to_numpy()
+    return out[-1] / n + ridge / 2 * (w * w).sum(), out[:-1].reshape(w.shape) / n + ridge * w
+
+
+def minimised(loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray) -> np.ndarray:
+    """Weights of the least loss, by L-BFGS from ``w``; ``loss_at``: (loss, gradient) at given weights."""
+    loss, gradient = loss_at(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(gradient).max() <= FLAT:
+            return w
+        move, shares = gradient.copy(), []
+        for s, d in reversed(past):
+            shares.append((s * move).sum() / (s * d).sum())
+            move -= shares[-1] * d
+        if past:
+            s, d = past[-1]
+            move *= (s * d).sum() / (d * d).sum()
+        for (s, d), share in zip(past, reversed(shares), strict=True):
+            move += s * (share - (d * move).sum() / (s * d).sum())
+        t, slope = 1.0, (move * gradient).sum()
+        while True:
+            there = loss_at(w - t * move)
+            if there[0] <= loss - 1e-4 * t * slope + 1e-12 or t <= 1e-6:
+                break
+            t /= 2
+        s, d = -t * move, there[1] - gradient
+        if (s * d).sum() > 0:  # but for rounding, it is
+            past = [*past, (s, d)][-PAST:]
+        w, (loss, gradient) = w - t * move, there
+    warnings.warn(f"the classifier's gradient is {np.abs(gradient).max():.3g} after {STEPS} steps", stacklevel=2)
+    return w
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str, key: str = "doc_id", text: str = "text", ridge: float = 1e-3) -> Domains:
+    """Fit on all documents whose key is in ``labelled``; ``domain``: a column of ``docs``."""
+    with scratch_scope(docs.sparkSession):
+        bags = labelled_bags(docs, labelled, domain, key, text)
+        counts = {r.y: r.n for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        names = sorted(counts) or [""]
+        if len(names) < 2:
+            return Domains(names, np.zeros((WIDTH, 1)), np.zeros(1))
+        n = sum(counts.values())
+        w = minimised(lambda w: softmax_loss(bags, names, n, w, ridge), np.zeros((WIDTH + 1, len(names))))
+    return Domains(names, w[:-1], w[-1])
 
 
 def posteriors(docs: DataFrame, domains: Domains, key: str, text: str) -> DataFrame:
